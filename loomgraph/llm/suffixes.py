@@ -14,8 +14,11 @@ least among 25 neighbours, chosen by content alone.  Only anchors that stand in
 between two neighbouring anchors that occur at the same shifted places (seen from their counts and two
 linear fingerprints of the places), no repeat can begin, as the word before would be the same everywhere.
 
+Documents with the very same text go through as one, with the list of their ids: their words stand at
+the same places, so occurrences are given as lists of ids and lists of places for each distinct text.
+
 Defined results: null, empty or shorter texts hold no repeat; rows that repeat in full are one
-document; repeats inside one document alone don't count; null ids are carried as null.
+document; repeats inside one document alone don't count; a null id counts as one document and stands first in a list.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from .common import fresh, materialise, row_key
 MIN_WORDS = 50
 ANCHOR = 26
 NEIGHBOURS = MIN_WORDS - ANCHOR + 1
+_SLICE, _FLUSH = 256, 20_000  # rows turned into objects, and places held, at a time
 
 
 def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -84,12 +88,13 @@ def _starts(n: int, at: np.ndarray, count: np.ndarray, s2: np.ndarray, s3: np.nd
     return p[fits], e[fits]
 
 
-def tree(suffixes: list[bytes], left: list[int], docs: list[int], least: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
+def tree(suffixes: list[bytes], left: list[int], docs: list[int], copies: list[int], least: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) of the left-diverse intervals with two documents of a *sorted* suffix list.
 
-    Words are 4 bytes each.  left: a hash of the word before, -1 at the start of a document."""
-    stack: list[list[int]] = []  # length, first, left word or -1 if they differ, least and greatest document
-    n = len(suffixes)
+    Words are 4 bytes each.  left: a hash of the word before, -1 at the start of a document; docs: its
+    text; copies: how many documents have this text.  A text with copies is an interval by itself."""
+    stack: list[list[int]] = []  # length, first, left word or -1 if they differ, least and greatest text, most copies
+    n, before = len(suffixes), -1
     for i in range(n):
         lcp = -1
         if i + 1 < n:
@@ -99,27 +104,33 @@ def tree(suffixes: list[bytes], left: list[int], docs: list[int], least: int = M
                 lcp = m // 4
             else:
                 lcp = int(np.argmax(np.frombuffer(a, np.uint32, m // 4) != np.frombuffer(b, np.uint32, m // 4)))
-        item = [0, i, left[i], docs[i], docs[i]]
+        own = len(suffixes[i]) // 4
+        if copies[i] > 1 and left[i] == -1 and own >= least and own > max(before, lcp):
+            yield own, i, i
+        before = lcp
+        item = [0, i, left[i], docs[i], docs[i], copies[i]]
         while stack and stack[-1][0] > lcp:
-            length, first, word, lo, hi = stack.pop()
-            word, lo, hi = word if word == item[2] else -1, min(lo, item[3]), max(hi, item[4])
-            if word == -1 and lo != hi and length >= least:
+            length, first, *rest = stack.pop()
+            item = [0, first, *_joined(rest, item[2:])]
+            if item[2] == -1 and (item[3] != item[4] or item[5] > 1) and length >= least:
                 yield length, first, i
-            item = [0, first, word, lo, hi]
         if lcp >= 0:
             if stack and stack[-1][0] == lcp:
-                top = stack[-1]
-                top[2], top[3], top[4] = top[2] if top[2] == item[2] else -1, min(top[3], item[3]), max(top[4], item[4])
+                stack[-1][2:] = _joined(stack[-1][2:], item[2:])
             else:
                 stack.append([lcp, *item[1:]])
 
 
+def _joined(a: list[int], b: list[int]) -> list[int]:
+    return [a[0] if a[0] == b[0] else -1, min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+
+
 def _words32(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(">u4")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*row_key(docs)).select("doc_id", F.xxhash64("doc_id", "th").alias("dk"), "text")
+    return docs.select(*row_key(docs)).select("doc_id", "th", F.xxhash64("doc_id", "th").alias("dk"), "text")
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +143,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["dk", "doc_id", "base", "words", "p", "e", "lh", "before"]
+    names = ["dk", "ids", "base", "words", "p", "e", "lh", "before"]
     for batch in batches:
         texts = K.column(batch, "text")
         hits = K.column(batch, "hits")
-        ids, dks = K.column(batch, "doc_id"), K.column(batch, "dk")
+        ids, dks = K.column(batch, "ids"), K.column(batch, "dk")
         for lo, hi in K.chunks(texts):
             w = K.words(texts.slice(lo, hi - lo))
             doc, at, _ = anchors(w)
@@ -173,16 +184,15 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        table = batch.to_pydict()
+    for table in (whole.slice(at, _SLICE).to_pydict() for whole in batches for at in range(0, whole.num_rows, _SLICE)):
         out: list[tuple] = []
         size = 0
-        for dk, doc_id, base, words, hits in zip(*(table[c] for c in ("dk", "doc_id", "base", "words", "hits"))):
+        for dk, ids, base, words, hits in zip(*(table[c] for c in ("dk", "ids", "base", "words", "hits"))):
             for h in hits:
                 context = words[4 * (h["p"] - base) : 4 * (h["e"] - base)]
-                out.append((h["lh"], dk, doc_id, h["p"], h["before"], context))
-                size += len(context)
-                if size > 1 << 22:
+                out.append((h["lh"], dk, ids, h["p"], h["before"], context))
+                size += len(context) + 8 * len(ids)
+                if size > 1 << 20:
                     yield _suffix_batch(out)
                     out, size = [], 0
         if out:
@@ -190,51 +200,102 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["lh", "dk", "doc_id", "p", "before", "words"])
-
-
-def _bucket(rows: list[tuple]) -> Iterator[dict]:
-    """Maximal repeats of the suffixes of one bucket; rows: dk, doc_id, p, before, words."""
-    rows = sorted({(r[0], r[2]): r for r in rows}.values(), key=lambda r: (r[4], r[0], r[2]))
-    for length, lo, hi in tree([r[4] for r in rows], [r[3] for r in rows], [r[0] for r in rows]):
-        places = sorted(rows[lo : hi + 1], key=lambda r: (r[1] is None, r[1] or 0, r[0], r[2]))
-        yield {
-            "n_words": length,
-            "n_docs": len({r[0] for r in places}),
-            "doc_ids": sorted({r[1] for r in places if r[1] is not None}),
-            "occurrences": [{"doc_id": r[1], "dk": r[0], "first_word": r[2]} for r in places],
-        }
-
-
-_REPEAT = "n_words int, n_docs int, doc_ids array<long>, occurrences array<struct<doc_id: long, dk: long, first_word: int>>"
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["lh", "dk", "ids", "p", "before", "words"])
+
+
+class _Found:
+    """Repeats as flat columns, so that a place costs bytes and not objects."""
+
+    def __init__(self) -> None:
+        self.lengths: list[int] = []
+        self.docs: list[int] = []
+        self.all: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.texts: list[int] = []
+        self.keys: list[int] = []
+        self.size = 0
+
+    def bucket(self, rows: list[tuple]) -> None:
+        """Add the maximal repeats of the suffixes of one bucket; rows: dk, ids, p, before, words."""
+        rows = sorted({(r[0], r[2]): r for r in rows}.values(), key=lambda r: (r[4], r[0], r[2]))
+        found = list(tree([r[4] for r in rows], [r[3] for r in rows], [r[0] for r in rows], [len(r[1]) for r in rows]))
+        if not found:
+            return
+        texts = sorted({r[0]: r[1] for r in rows}.items(), key=lambda x: ([(i is not None, i or 0) for i in x[1][:1]], x[0]))
+        number = {dk: i for i, (dk, _) in enumerate(texts)}
+        own = [np.array([_NULL if i is None else i for i in ids], np.int64) for _, ids in texts]
+        text, place = np.array([number[r[0]] for r in rows]), np.array([r[2] for r in rows], np.int32)
+        for length, lo, hi in found:
+            order = np.lexsort((place[lo : hi + 1], text[lo : hi + 1])) + lo
+            t = text[order]
+            cut = np.flatnonzero(np.diff(t, prepend=-1))
+            ids = [own[i] for i in t[cut]]
+            self.lengths.append(length)
+            self.docs.append(sum(map(len, ids)))
+            self.all.append(np.unique(np.concatenate(ids)))
+            self.ids.extend(ids)
+            self.places.extend(np.split(place[order], cut[1:]))
+            self.keys.extend(texts[i][0] for i in t[cut])
+            self.texts.append(len(cut))
+            self.size += len(order) + self.docs[-1]
+
+    @staticmethod
+    def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+        flat = np.concatenate(parts)
+        size = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
+        return pa.ListArray.from_arrays(size, pa.array(flat, mask=flat == _NULL) if flat.dtype == np.int64 else pa.array(flat))
+
+    def batch(self) -> pa.RecordBatch:
+        place = pa.StructArray.from_arrays([pa.array(self.keys, pa.int64()), self._lists(self.ids), self._lists(self.places)], names=["dk", "doc_ids", "first_words"])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.lengths, pa.int32()),
+                pa.array(self.docs, pa.int32()),
+                self._lists(self.all),
+                pa.ListArray.from_arrays(np.cumsum([0, *self.texts]).astype(np.int32), place),
+            ],
+            names=["n_words", "n_docs", "doc_ids", "occurrences"],
+        )
+
+
+_NULL = np.iinfo(np.int64).min  # stands for a null id; sorts first
+_REPEAT = "n_words int, n_docs int, doc_ids array<long>, occurrences array<struct<dk: long, doc_ids: array<long>, first_words: array<int>>>"
 
 
 def _scan_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place = pa.struct([("doc_id", pa.int64()), ("dk", pa.int64()), ("first_word", pa.int32())])
-    schema = pa.schema([("n_words", pa.int32()), ("n_docs", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("occurrences", pa.list_(place))])
-    key, rows, found, held = None, [], [], 0
-    for batch in batches:
-        cols = [K.column(batch, c) for c in ("lh", "dk", "doc_id", "p", "before", "words")]
-        for lh, *row in zip(*(c.to_pylist() for c in cols)):
-            if lh != key:
-                if rows:
-                    found.extend(_bucket(rows))
-                key, rows = lh, []
-            rows.append(row)
-        if len(found) > 1000:
-            yield pa.RecordBatch.from_pylist(found, schema)
-            found = []
+    key, rows, found = None, [], _Found()
+    for whole in batches:
+        for at in range(0, whole.num_rows, _SLICE):
+            batch = whole.slice(at, _SLICE)
+            cols = [K.column(batch, c) for c in ("lh", "dk", "ids", "p", "before", "words")]
+            for lh, *row in zip(*(c.to_pylist() for c in cols)):
+                if lh != key:
+                    if rows:
+                        found.bucket(rows)
+                    key, rows = lh, []
+                    if found.size > _FLUSH:
+                        yield found.batch()
+                        found = _Found()
+                rows.append(row)
     if rows:
-        found.extend(_bucket(rows))
-    if found:
-        yield pa.RecordBatch.from_pylist(found, schema)
+        found.bucket(rows)
+    if found.size:
+        yield found.batch()
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """One row per maximal repeat: ``n_words``, ``n_docs``, ``doc_ids`` and ``occurrences`` (document and
-    first word of each, in the order of ids, nulls last)."""
+    """One row per maximal repeat: ``n_words``, ``n_docs``, ``doc_ids`` and ``occurrences``: for each
+    distinct text, by its least id, the hash of the text, the ids and the first words of the places."""
     keyed = _keyed(docs)
+    texts = (
+        keyed.filter("text is not null")
+        .groupBy("th")
+        .agg(F.collect_set("doc_id").alias("ids"), F.max(F.col("doc_id").isNull()).alias("no_id"))
+        .select("th", F.when(F.col("no_id"), F.concat(F.array(F.lit(None).cast("long")), F.sort_array("ids"))).otherwise(F.sort_array("ids")).alias("ids"))
+        .withColumn("dk", F.xxhash64(F.col("ids")[0], "th"))
+    )
     everywhere = Window.partitionBy("fp")
     r = F.pmod(F.xxhash64(F.lit(7), "dk"), F.lit(1 << 24))
     places = (
@@ -245,34 +306,38 @@ def repeats(docs: DataFrame) -> DataFrame:
         .filter("lo != hi")
         .groupBy("dk")
         .agg(F.collect_list(F.struct("at", "n", "s2", "s3")).alias("hits"))
+        .join(texts, "dk")
+        .select("dk", "ids", "hits")
     )
     candidates = materialise(
-        keyed.join(places, "dk").select("dk", "doc_id", "text", "hits").mapInArrow(
-            _candidate_rows, "dk long, doc_id long, base int, words binary, p array<int>, e array<int>, lh array<long>, before array<long>"
+        keyed.select(F.col("th"), "dk", "text").join(places, "dk").select(F.col("th").alias("dk"), "ids", "text", "hits").mapInArrow(
+            _candidate_rows, "dk long, ids array<long>, base int, words binary, p array<int>, e array<int>, lh array<long>, before array<long>"
         ),
         "candidates",
     )
     bucket = Window.partitionBy("lh")
     # the documents' starts count as differing from every word
     differ = (F.min("before").over(bucket) != F.max("before").over(bucket)) | (F.min("before").over(bucket) < 0)
+    several = (F.min("dk").over(bucket) != F.max("dk").over(bucket)) | (F.max("copies").over(bucket) > 1)
     starts = (
-        candidates.select("dk", F.inline(F.arrays_zip("p", "e", "lh", "before")))
-        .withColumn("good", differ & (F.min("dk").over(bucket) != F.max("dk").over(bucket)))
+        candidates.select("dk", F.size("ids").alias("copies"), F.inline(F.arrays_zip("p", "e", "lh", "before")))
+        .withColumn("good", differ & several)
         .filter("good")
         .groupBy("dk")
         .agg(F.collect_set(F.struct("p", "e", "lh", "before")).alias("hits"))
     )
     suffixes = (
-        candidates.select("dk", "doc_id", "base", "words")
+        candidates.select("dk", "ids", "base", "words")
         .join(starts, "dk")
-        .select("dk", "doc_id", "base", "words", "hits")
-        .mapInArrow(_suffix_rows, "lh long, dk long, doc_id long, p int, before long, words binary")
+        .select("dk", "ids", "base", "words", "hits")
+        .mapInArrow(_suffix_rows, "lh long, dk long, ids array<long>, p int, before long, words binary")
     )
     return suffixes.repartition("lh").sortWithinPartitions("lh").mapInArrow(_scan_buckets, _REPEAT)
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    return repeats(docs).withColumn("occurrences", F.transform("occurrences", lambda o: F.struct(o["doc_id"].alias("doc_id"), o["first_word"].alias("first_word"))))
+    places = F.transform("occurrences", lambda o: F.struct(o["doc_ids"].alias("doc_ids"), o["first_words"].alias("first_words")))
+    return repeats(docs).withColumn("occurrences", places)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -291,17 +356,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     All columns are kept and ``n_chars``, where it is there, follows the text; documents of which no word
     is left are dropped, others come back as they were."""
-    first = F.col("occurrences")[0]["dk"]
     cuts = (
         repeats(docs)
-        .select("n_words", first.alias("keep"), F.explode("occurrences").alias("o"))
-        .select(F.col("o.dk").alias("dk"), F.col("o.first_word").alias("first"), (F.col("o.first_word") + F.col("n_words")).alias("end"), "keep")
-        .filter("dk != keep")
+        .select("n_words", F.posexplode("occurrences").alias("nth", "o"))
+        .select("n_words", "nth", "o.dk", F.col("o.doc_ids")[0].alias("least"), F.explode("o.first_words").alias("first"))
+        .select("dk", "least", (F.col("nth") == 0).alias("kept"), F.struct("first", (F.col("first") + F.col("n_words")).alias("end")).alias("cut"))
         .groupBy("dk")
-        .agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
+        .agg(F.collect_set(F.when(~F.col("kept"), F.col("cut"))).alias("every"), F.collect_set("cut").alias("copies"), F.first("least").alias("least"))
     )
-    k, d, c, w = fresh(docs, "cut_dk", "own_dk", "cut_spans", "wordless")
-    cuts = cuts.select(F.col("dk").alias(k), F.col("cuts").alias(c))
+    k, d, c = fresh(docs, "cut_dk", "own_dk", "cut_spans")
+    # the document with the least id keeps what it has first; its copies and all others lose it
+    cuts = cuts.select(F.col("dk").alias(k), "every", "copies", "least")
+    names = fresh(docs, "cut_every", "cut_copies", "cut_least")
+    cuts = cuts.select(k, *(F.col(x).alias(y) for x, y in zip(("every", "copies", "least"), names)))
 
     @F.pandas_udf("string")
     def trimmed(text, spans):
@@ -309,7 +376,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([without_spans(t, [(x["first"], x["end"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
 
-    joined = docs.withColumn(d, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(cuts, F.col(d) == F.col(k), "left")
+    joined = docs.withColumn(d, F.xxhash64("text")).join(cuts, F.col(d) == F.col(k), "left")
+    joined = joined.withColumn(c, F.when(F.col("doc_id").cast("long").eqNullSafe(F.col(names[2])), F.col(names[0])).otherwise(F.col(names[1])))
+    joined = joined.withColumn(c, F.when(F.size(c) > 0, F.col(c)))
     whole = joined.filter(F.col(c).isNull()).select(*docs.columns)
     less = joined.filter(F.col(c).isNotNull()).withColumn("text", trimmed("text", c)).filter(F.col("text").rlike(r"[0-9a-zA-Z\u0080-\x{10FFFF}]"))
     if "n_chars" in docs.columns:
