@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, suffixes, toxicity
+from . import decontaminate, minhash, nearest, packing, pseudolikelihood, reputation, suffixes, templates, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +17,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.scored(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.score(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.render_conversations(_table(spark, sf_dir, "conversations")).drop("spans")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,7 +54,20 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_decontaminate, op6_minhash, op9_toxicity, op10_suffix_array)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_url_reputation, op3_decontaminate, op4_pseudo_likelihood, op5_warc,
+        op6_minhash, op7_nearest, op8_chat, op9_toxicity, op10_suffix_array,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op2_url_reputation": reputation.ORACLE,
+    "op7_nearest": nearest.ORACLE,
+    "op8_chat": """
+SELECT conv_id, count(*)::INTEGER AS n_turns,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
+       (count(*) FILTER (WHERE role = 'assistant'))::INTEGER AS n_generated,
+       coalesce(sum(length(coalesce(text, '')) + 10) FILTER (WHERE role = 'assistant'), 0)::INTEGER AS generated_chars
+FROM conversations GROUP BY conv_id""",
 }
-
-ORACLES: dict[str, str] = {}
