@@ -5,7 +5,8 @@ if its occurrences can't all be extended by one word to either side.  The result
 with all its occurrences.
 
 All suffixes that share ``MIN_WORDS`` words lie in one bucket of the suffix array, keyed by the hash of
-those words, so buckets are sorted and scanned apart from each other.  Within one, suffixes are sorted,
+those words, so buckets are sorted and scanned apart from each other.  Buckets travel by their *route*, the least
+26-gram of those words, as suffixes of one document with the same route need its words only once.  Within one bucket, suffixes are sorted,
 common prefixes of neighbours taken, and a stack scan closes the intervals of the prefix tree; an interval
 is output if the words before its suffixes differ (the start of a document differs from all).
 
@@ -23,6 +24,7 @@ document; repeats inside one document alone don't count; a null id counts as one
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,12 +50,13 @@ def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word position in it, hash) of the anchors of every document."""
+def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word position in it, hash) of the anchors of every document, and for every word the hash
+    of the least anchor of the MIN_WORDS words from there, 0 if the document ends before."""
     n = len(w.hashes)
     none = np.zeros(0, np.int64)
     if n < MIN_WORDS:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), np.zeros(n, np.uint64)
     g = K.grams(w.hashes, ANCHOR)
     doc_of = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.offsets))
     least = _sliding(g, NEIGHBOURS, np.minimum)
@@ -64,7 +67,7 @@ def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero((g == most) & (most != 0))
     at = at[doc_of[at] == doc_of[at + ANCHOR - 1]]
     doc = doc_of[at]
-    return doc, at - w.offsets[doc], g[at]
+    return doc, at - w.offsets[doc], g[at], np.concatenate([least, np.zeros(n - m, np.uint64)])
 
 
 def _starts(n: int, at: np.ndarray, count: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,22 +140,22 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, dk = K.column(batch, "text"), K.column(batch, "dk").to_numpy()
         for lo, hi in K.chunks(texts):
-            doc, at, fp = anchors(K.words(texts.slice(lo, hi - lo)))
+            doc, at, fp, _ = anchors(K.words(texts.slice(lo, hi - lo)))
             if len(doc):
                 yield pa.RecordBatch.from_arrays([pa.array(dk[lo:hi][doc]), pa.array(at.astype(np.int32)), pa.array(fp.view(np.int64))], names=["dk", "at", "fp"])
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["dk", "ids", "base", "words", "p", "e", "lh", "before"]
+    names = ["dk", "ids", "base", "words", "p", "e", "lh", "before", "route"]
     for batch in batches:
         texts = K.column(batch, "text")
         hits = K.column(batch, "hits")
         ids, dks = K.column(batch, "ids"), K.column(batch, "dk")
         for lo, hi in K.chunks(texts):
             w = K.words(texts.slice(lo, hi - lo))
-            doc, at, _ = anchors(w)
+            doc, at, _, least = anchors(w)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-            rows, out = [], [[] for _ in range(6)]
+            rows, out = [], [[] for _ in range(7)]
             for i in range(hi - lo):
                 mine = at[cut[i] : cut[i + 1]]
                 h = hits[lo + i].values
@@ -172,8 +175,9 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 base, end = int(p.min()), int(e.max())
                 before = np.where(p > 0, (hashes[p - 1] >> np.uint64(33)).astype(np.int64), -1)
                 lh = K.grams(hashes, MIN_WORDS)[p].view(np.int64)
+                route = least[w.offsets[i] + p].view(np.int64)
                 rows.append(lo + i)
-                for a, x in zip(out, (base, _words32(hashes[base:end]).tobytes(), p.astype(np.int32), e.astype(np.int32), lh, before)):
+                for a, x in zip(out, (base, _words32(hashes[base:end]).tobytes(), p.astype(np.int32), e.astype(np.int32), lh, before, route)):
                     a.append(x)
             if rows:
                 base, words, *lists = out
@@ -184,24 +188,30 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes by route.  Suffixes of one document with one route share their words, sent once."""
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=_SUFFIX)
+
     for table in (whole.slice(at, _SLICE).to_pydict() for whole in batches for at in range(0, whole.num_rows, _SLICE)):
         out: list[tuple] = []
         size = 0
         for dk, ids, base, words, hits in zip(*(table[c] for c in ("dk", "ids", "base", "words", "hits"))):
-            for h in hits:
-                context = words[4 * (h["p"] - base) : 4 * (h["e"] - base)]
-                out.append((h["lh"], dk, ids, h["p"], h["before"], context))
-                size += len(context) + 8 * len(ids)
+            hits.sort(key=lambda h: (h["route"], h["p"]))
+            for route, same in itertools.groupby(hits, key=lambda h: h["route"]):
+                p, e, lh, before = zip(*((h["p"], h["e"], h["lh"], h["before"]) for h in same))
+                own = words[4 * (p[0] - base) : 4 * (max(e) - base)]
+                out.append((route, dk, ids, p[0], own, p, e, lh, before))
+                size += len(own) + 8 * len(ids) + 24 * len(p)
                 if size > 1 << 20:
-                    yield _suffix_batch(out)
+                    yield made(out)
                     out, size = [], 0
         if out:
-            yield _suffix_batch(out)
+            yield made(out)
 
 
-def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["lh", "dk", "ids", "p", "before", "words"])
+_SUFFIX = ["route", "dk", "ids", "base", "words", "p", "e", "lh", "before"]
 
 
 class _Found:
@@ -231,15 +241,28 @@ class _Found:
             order = np.lexsort((place[lo : hi + 1], text[lo : hi + 1])) + lo
             t = text[order]
             cut = np.flatnonzero(np.diff(t, prepend=-1))
-            ids = [own[i] for i in t[cut]]
-            self.lengths.append(length)
-            self.docs.append(sum(map(len, ids)))
-            self.all.append(np.unique(np.concatenate(ids)))
-            self.ids.extend(ids)
-            self.places.extend(np.split(place[order], cut[1:]))
-            self.keys.extend(texts[i][0] for i in t[cut])
-            self.texts.append(len(cut))
-            self.size += len(order) + self.docs[-1]
+            ids, keys = [own[i] for i in t[cut]], [texts[i][0] for i in t[cut]]
+            self.add(length, ids, keys, np.cumsum(np.diff(t, prepend=t[0]) > 0), place[order])
+
+    def add(self, length: int, ids: list[np.ndarray], keys: list[int], number: np.ndarray, place: np.ndarray) -> None:
+        """A repeat at ``place`` of the texts ``keys[number]``, whose documents are ``ids``."""
+        self.lengths.append(length)
+        self.docs.append(sum(map(len, ids)))
+        self.all.append(np.unique(np.concatenate(ids)))
+        self.ids.extend(ids)
+        self.places.extend(np.split(place, np.flatnonzero(np.diff(number)) + 1))
+        self.keys.extend(keys)
+        self.texts.append(len(keys))
+        self.size += len(place) + self.docs[-1]
+
+    def group(self, rows: list[list]) -> None:
+        """Buckets of one route; rows: dk, ids, base, words and the lists p, e, lh, before."""
+        buckets: dict[int, list[tuple]] = {}
+        for dk, ids, base, words, *lists in rows:
+            for p, e, lh, before in zip(*lists):
+                buckets.setdefault(lh, []).append((dk, ids, p, before, words, p - base, e - base))
+        for lh in sorted(buckets):
+            self.bucket([(dk, ids, p, before, words[4 * a : 4 * b]) for dk, ids, p, before, words, a, b in buckets[lh]])
 
     @staticmethod
     def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -264,28 +287,70 @@ _NULL = np.iinfo(np.int64).min  # stands for a null id; sorts first
 _REPEAT = "n_words int, n_docs int, doc_ids array<long>, occurrences array<struct<dk: long, doc_ids: array<long>, first_words: array<int>>>"
 
 
-def _scan_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, rows, found = None, [], _Found()
-    for whole in batches:
-        for at in range(0, whole.num_rows, _SLICE):
-            batch = whole.slice(at, _SLICE)
-            cols = [K.column(batch, c) for c in ("lh", "dk", "ids", "p", "before", "words")]
-            for lh, *row in zip(*(c.to_pylist() for c in cols)):
-                if lh != key:
-                    if rows:
-                        found.bucket(rows)
-                    key, rows = lh, []
-                    if found.size > _FLUSH:
-                        yield found.batch()
-                        found = _Found()
-                rows.append(row)
-    if rows:
-        found.bucket(rows)
-    if found.size:
-        yield found.batch()
-
-
-def repeats(docs: DataFrame) -> DataFrame:
+class _Cuts(_Found):
+    """What to cut for the first text to keep each repeat: merged runs of words by text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.runs: list[np.ndarray] = []
+        self.least: dict[int, int | None] = {}
+
+    def add(self, length: int, ids: list[np.ndarray], keys: list[int], number: np.ndarray, place: np.ndarray) -> None:
+        kept = number == 0
+        if len(ids[0]) < 2:  # without copies nothing of the first text goes
+            number, place, kept = number[~kept], place[~kept], kept[~kept]
+        dk = np.array(keys, np.int64)[number]
+        self.runs.append(np.stack([dk, kept, place, place + np.int64(length)]))
+        self.size += len(dk)
+        self.least.update((k, None if i[0] == _NULL else int(i[0])) for k, i in zip(keys, ids))
+
+    def batch(self) -> pa.RecordBatch:
+        dk, kept, first, end = np.concatenate(self.runs, axis=1)
+        order = np.lexsort((first, kept, dk))
+        dk, kept, first, end = dk[order], kept[order], first[order], end[order]
+        new = np.ones(len(dk), bool)
+        new[1:] = (dk[1:] != dk[:-1]) | (kept[1:] != kept[:-1])
+        part = np.cumsum(new)
+        reach = np.maximum.accumulate(end + part * (1 << 32)) - part * (1 << 32)  # greatest end so far in its part
+        new[1:] |= first[1:] > reach[:-1]
+        at = np.flatnonzero(new)
+        stop = np.append(at[1:], len(dk)) - 1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(dk[at]),
+                pa.array([self.least[k] for k in dk[at].tolist()], pa.int64()),
+                pa.array(kept[at] > 0),
+                pa.array(first[at].astype(np.int32)),
+                pa.array(reach[stop].astype(np.int32)),
+            ],
+            names=["dk", "least", "kept", "first", "end"],
+        )
+
+
+def _scanner(kind: type[_Found]):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, found = None, [], kind()
+        for whole in batches:
+            for at in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(at, _SLICE)
+                for route, *row in zip(*(K.column(batch, c).to_pylist() for c in _SUFFIX)):
+                    if route != key:
+                        if rows:
+                            found.group(rows)
+                        key, rows = route, []
+                        if found.size > _FLUSH:
+                            yield found.batch()
+                            found = kind()
+                    rows.append(row)
+        if rows:
+            found.group(rows)
+        if found.size:
+            yield found.batch()
+
+    return scan
+
+
+def repeats(docs: DataFrame, kind: type[_Found] = _Found, schema: str = _REPEAT) -> DataFrame:
     """One row per maximal repeat: ``n_words``, ``n_docs``, ``doc_ids`` and ``occurrences``: for each
     distinct text, by its least id, the hash of the text, the ids and the first words of the places."""
     keyed = _keyed(docs)
@@ -311,7 +376,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
     candidates = materialise(
         keyed.select(F.col("th"), "dk", "text").join(places, "dk").select(F.col("th").alias("dk"), "ids", "text", "hits").mapInArrow(
-            _candidate_rows, "dk long, ids array<long>, base int, words binary, p array<int>, e array<int>, lh array<long>, before array<long>"
+            _candidate_rows, "dk long, ids array<long>, base int, words binary, p array<int>, e array<int>, lh array<long>, before array<long>, route array<long>"
         ),
         "candidates",
     )
@@ -320,19 +385,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     differ = (F.min("before").over(bucket) != F.max("before").over(bucket)) | (F.min("before").over(bucket) < 0)
     several = (F.min("dk").over(bucket) != F.max("dk").over(bucket)) | (F.max("copies").over(bucket) > 1)
     starts = (
-        candidates.select("dk", F.size("ids").alias("copies"), F.inline(F.arrays_zip("p", "e", "lh", "before")))
+        candidates.select("dk", F.size("ids").alias("copies"), F.inline(F.arrays_zip("p", "e", "lh", "before", "route")))
         .withColumn("good", differ & several)
         .filter("good")
         .groupBy("dk")
-        .agg(F.collect_set(F.struct("p", "e", "lh", "before")).alias("hits"))
+        .agg(F.collect_set(F.struct("p", "e", "lh", "before", "route")).alias("hits"))
     )
     suffixes = (
         candidates.select("dk", "ids", "base", "words")
         .join(starts, "dk")
         .select("dk", "ids", "base", "words", "hits")
-        .mapInArrow(_suffix_rows, "lh long, dk long, ids array<long>, p int, before long, words binary")
+        .mapInArrow(_suffix_rows, "route long, dk long, ids array<long>, base int, words binary, p array<int>, e array<int>, lh array<long>, before array<long>")
     )
-    return suffixes.repartition("lh").sortWithinPartitions("lh").mapInArrow(_scan_buckets, _REPEAT)
+    return suffixes.repartition("route").sortWithinPartitions("route").mapInArrow(_scanner(kind), schema)
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
@@ -356,13 +421,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     All columns are kept and ``n_chars``, where it is there, follows the text; documents of which no word
     is left are dropped, others come back as they were."""
+    run = F.struct("first", "end")
     cuts = (
-        repeats(docs)
-        .select("n_words", F.posexplode("occurrences").alias("nth", "o"))
-        .select("n_words", "nth", "o.dk", F.col("o.doc_ids")[0].alias("least"), F.explode("o.first_words").alias("first"))
-        .select("dk", "least", (F.col("nth") == 0).alias("kept"), F.struct("first", (F.col("first") + F.col("n_words")).alias("end")).alias("cut"))
+        repeats(docs, _Cuts, "dk long, least long, kept boolean, first int, end int")
         .groupBy("dk")
-        .agg(F.collect_set(F.when(~F.col("kept"), F.col("cut"))).alias("every"), F.collect_set("cut").alias("copies"), F.first("least").alias("least"))
+        .agg(F.collect_list(F.when(~F.col("kept"), run)).alias("every"), F.collect_list(run).alias("copies"), F.first("least").alias("least"))
     )
     k, d, c = fresh(docs, "cut_dk", "own_dk", "cut_spans")
     # the document with the least id keeps what it has first; its copies and all others lose it
