@@ -90,24 +90,27 @@ def fit(texts: pa.Array, toxic: np.ndarray, min_docs: int = 4, min_ratio: float
     none = Model(np.zeros(size, np.float32), 0.0, np.inf)
     if y.all() or not y.any():
         return none
-    docs, buckets = [], []
-    for lo, hi in K.chunks(texts):
-        doc, bucket, _ = features(texts.slice(lo, hi - lo))
-        doc, bucket = _distinct(doc, bucket)
-        docs.append((doc + lo).astype(np.int32))
-        buckets.append(bucket.astype(np.int32))
-    doc, bucket = np.concatenate(docs), np.concatenate(buckets)
     held = np.arange(len(y)) % 5 == 4
     if y[~held].all() or not y[~held].any():
         held[:] = False
-    use = ~held[doc]
-    pos = np.bincount(bucket[use & y[doc]], minlength=size)
-    neg = np.bincount(bucket[use & ~y[doc]], minlength=size)
+    # two passes: counts first, then only the features that got a weight are kept
+    pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for lo, hi in K.chunks(texts):
+        doc, bucket = _distinct(*features(texts.slice(lo, hi - lo))[:2])
+        use, bad = ~held[lo:hi][doc], y[lo:hi][doc]
+        pos += np.bincount(bucket[use & bad], minlength=size)
+        neg += np.bincount(bucket[use & ~bad], minlength=size)
     n_pos, n_neg = y[~held].sum(), (~y & ~held).sum()
     r = np.log((pos + alpha) / (n_pos + 2 * alpha)) - np.log((neg + alpha) / (n_neg + 2 * alpha))
     r[(pos + neg < min_docs) | (np.abs(r) < min_ratio)] = 0
-    live = r[bucket] != 0
-    doc, bucket = doc[live], bucket[live]
+    docs, buckets = [], []
+    for lo, hi in K.chunks(texts):
+        doc, bucket, _ = features(texts.slice(lo, hi - lo))
+        live = r[bucket] != 0
+        doc, bucket = _distinct(doc[live], bucket[live])
+        docs.append((doc + lo).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
+    doc, bucket = np.concatenate(docs), np.concatenate(buckets)
     train = ~held[doc]
     d, b = doc[train], bucket[train]
     w, bias = np.zeros(size), float(np.log(n_pos / n_neg))
@@ -151,14 +154,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        order = np.lexsort((table["text"].to_pandas().fillna("").to_numpy(), table["doc_id"].to_numpy()))
-        order = order[np.argsort(K.mix(table["doc_id"].to_numpy()[order].astype(np.uint64)), kind="stable")]
+        order = np.lexsort((table["th"].to_numpy(), K.mix(table["doc_id"].to_numpy().astype(np.uint64))))
         order = order[:max_train]  # repeated ids do not lift the bound
         texts = table["text"].cast(pa.large_string()).combine_chunks().take(pa.array(order))
         model = fit(texts, table["toxic"].to_numpy()[order] > 0)
