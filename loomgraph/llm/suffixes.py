@@ -70,23 +70,34 @@ def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return doc, at - w.offsets[doc], g[at], np.concatenate([least, np.zeros(n - m, np.uint64)])
 
 
-def _starts(n: int, at: np.ndarray, count: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _starts(n: int, at: np.ndarray, fp: np.ndarray, least: np.ndarray, count: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a maximal repeat may begin, and the end of the run of words it must stay in.
 
-    ``at``: all anchors of a document of n words; ``count``: documents' places of each, 0 if not repeated."""
+    ``at``, ``fp``: anchors of a document of n words; ``least``: of every word; ``count``: documents' places of
+    each anchor, 0 if not repeated.  A repeat holds all the windows of MIN_WORDS from its first word on, and
+    these choose the same anchors wherever it stands; other anchors inside it may come from windows that reach out of it."""
+    if n < MIN_WORDS or not len(at):
+        return at[:0], at[:0]
+    p = np.arange(n - MIN_WORDS + 1)
+    before = np.searchsorted(at, p)
+    own = before.copy()  # the anchor that the window at p chooses
+    wrong = np.flatnonzero(fp[own] != least[p])
+    while len(wrong):
+        own[wrong] += 1
+        wrong = wrong[fp[own[wrong]] != least[wrong]]
     rep = count > 0
     same = np.zeros(len(at), bool)
     same[1:] = rep[1:] & rep[:-1] & (count[1:] == count[:-1]) & (s2[1:] == s2[:-1]) & (s3[1:] == s3[:-1] + np.diff(at) * s2[1:])
-    # a run ends with the last repeated anchor before one that isn't, or where both have one other place, which differs
+    # no start where an anchor before p stands at the same places as the one of the window
+    breaks = np.cumsum(~same)
+    joined = (before > 0) & (breaks[own] == breaks[np.maximum(before - 1, 0)])
+    # a run ends within the window of the first anchor that isn't repeated, or has one other place, which differs
     stop = np.ones(len(at), bool)
     stop[:-1] = ~rep[1:] | ((count[1:] == 2) & (count[:-1] == 2) & ~same[1:])
     last = np.flatnonzero(stop)[np.searchsorted(np.flatnonzero(stop), np.arange(len(at)))]
-    end = np.where(last + 1 < len(at), at[np.minimum(last + 1, len(at) - 1)] + ANCHOR - 1, n)
-    i = np.flatnonzero(rep & ~same)
-    lo = np.where(i > 0, at[np.maximum(i - 1, 0)] + 1, 0)
-    reps = at[i] - lo + 1
-    p = np.repeat(lo, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    e = np.repeat(end[i], reps)
+    end = np.where(last + 1 < len(at), np.minimum(at[np.minimum(last + 1, len(at) - 1)] + MIN_WORDS - 1, n), n)
+    good = rep[own] & ~joined
+    p, e = p[good], end[own[good]]
     fits = p + MIN_WORDS <= e
     return p[fits], e[fits]
 
@@ -153,7 +164,7 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ids, dks = K.column(batch, "ids"), K.column(batch, "dk")
         for lo, hi in K.chunks(texts):
             w = K.words(texts.slice(lo, hi - lo))
-            doc, at, _, least = anchors(w)
+            doc, at, fp, least = anchors(w)
             cut = np.searchsorted(doc, np.arange(hi - lo + 1))
             rows, out = [], [[] for _ in range(7)]
             for i in range(hi - lo):
@@ -169,7 +180,7 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 for a, name in ((count, "n"), (s2, "s2"), (s3, "s3")):
                     a[where] = h.field(name).to_numpy()[order]
                 hashes = w.doc(i)
-                p, e = _starts(len(hashes), mine, count, s2, s3)
+                p, e = _starts(len(hashes), mine, fp[cut[i] : cut[i + 1]], least[w.offsets[i] : w.offsets[i + 1]], count, s2, s3)
                 if not len(p):
                     continue
                 base, end = int(p.min()), int(e.max())

@@ -104,7 +104,7 @@ class Writer:
             self.name = f"part-{self.range:06d}-{self.number:05d}.warc.gz"
             self.temporary = f"{self.base}/_temporary/{self.attempt}-{self.name}"
             self.fs.create_dir(f"{self.base}/_temporary")
-            self.out = self.fs.open_output_stream(self.temporary)
+            self.out = self.fs.open_output_stream(self.temporary, compression=None)
             head = member(info(self.name))
             self.out.write(head)
             self.size = len(head)
