@@ -14,7 +14,8 @@ def bm25(docs: DataFrame, id_col: str, fields: dict[str, float], terms: list[str
     """id, score of the documents with a term as a prefix of a word; words of all fields count for the length."""
     words = docs.select(id_col, *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields))
     size = sum((F.size(f) for f in fields), F.lit(0))
-    matched = [F.filter(f, lambda w, t=t: w.startswith(t)) for t in terms for f in fields]
+    starts = lambda t: lambda w: w.startswith(t)
+    matched = [F.filter(f, starts(t)) for t in terms for f in fields]
     freqs = []
     for i, t in enumerate(terms):
         own = matched[i * len(fields) : (i + 1) * len(fields)]
