@@ -6,9 +6,9 @@ the cost is 2 x 64 outputs a word and the probabilities still add up to 1 over t
 document is the sum of the log-probabilities of all its words.
 
 Vocabulary: exact counts of all words of all documents; the 3,584 most frequent are words of their own, the
-rest share 512 classes by hash.  Training: in each of ``ROUNDS`` rounds every partition trains, from the same start, on the
-sixteenth of the windows of all its documents that a hash of text and place picks, then the weights are averaged by the number of windows
-(parameter mixing).  Averages are built by a shuffle per slice of the weights; the driver gets one model of 2 MB, whatever the input.
+rest share 512 classes by hash.  Training: in each of ``ROUNDS`` rounds every partition trains, from the same start, on all
+windows of all its documents, mixed by a hash of text and place within a run of documents, then the weights are averaged by the number of
+windows (parameter mixing).  Averages are built by a shuffle per slice of the weights; the driver gets one model of 2 MB, whatever the input.
 
 Defined results: null and empty texts have 0 words and a score of 0; words beyond either end of a document are a
 pad; repeated rows score alike; without any word all scores are 0.
@@ -30,7 +30,8 @@ TOP, HASHED, CLASSES, HIDDEN = 3584, 512, 64, 24
 SIZE = TOP + HASHED
 INSIDE = SIZE // CLASSES
 REACH = (-2, -1, 1, 2)
-ROUNDS, RATE, BATCH, STEP = 2, 16, 2048, 0.25
+ROUNDS, BATCH, STEP = 2, 2048, 0.25
+BLOCK = 1 << 14  # windows scored at once
 SLICE = 1 << 14
 SHAPES = ((len(REACH), SIZE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, INSIDE), (CLASSES, INSIDE))
 
@@ -94,23 +95,33 @@ def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Of each word given the words around it."""
     emb, b, wc, bc, ww, bw = weights
-    h = emb[0][around[0]] + b
-    for j in range(1, len(REACH)):
-        h += emb[j][around[j]]
-    np.tanh(h, out=h)
-    cls, own = words % CLASSES, words // CLASSES
-    z = h @ wc + bc
-    out = z[np.arange(len(words)), cls] - _log_sum(z)
-    order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[cut[c] : cut[c + 1]]
-        if len(rows):
-            z = h[rows] @ ww[c] + bw[c]
-            out[rows] += z[np.arange(len(rows)), own[rows]] - _log_sum(z)
+    out = np.empty(len(words), np.float32)
+    for at in range(0, len(words), BLOCK):
+        near, word = around[:, at : at + BLOCK], words[at : at + BLOCK]
+        order, cut = _by_class(word)
+        near, word = near[:, order], word[order]
+        h = emb[0][near[0]] + b
+        for j in range(1, len(REACH)):
+            h += emb[j][near[j]]
+        np.tanh(h, out=h)
+        row = np.arange(len(word))
+        z = h @ wc + bc
+        lp = z[row, word % CLASSES] - _log_sum(z)
+        for c in range(CLASSES):
+            own = slice(cut[c], cut[c + 1])
+            np.matmul(h[own], ww[c], out=z[own])
+            z[own] += bw[c]
+        lp += z[row, word // CLASSES] - _log_sum(z)
+        out[at + order] = lp
     return out
 
 
+def _by_class(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts words by class, and where each class begins in it."""
+    cls = (words % CLASSES).astype(np.uint8)
+    return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+
+
 def _log_sum(z: np.ndarray) -> np.ndarray:
     top = z.max(axis=1)
     return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
@@ -131,32 +142,34 @@ class Trainer:
     def train(self, around: np.ndarray, words: np.ndarray) -> None:
         emb, b, wc, bc, ww, bw = self.w
         n = len(words)
+        order, cut = _by_class(words)
+        around, words = around[:, order], words[order]
         x = b + sum(emb[j][around[j]] for j in range(len(REACH)))
         h = np.tanh(x)
-        cls, own = words % CLASSES, words // CLASSES
+        row = np.arange(n)
         _, p = _softmax(h @ wc + bc)
-        p[np.arange(n), cls] -= 1
+        p[row, words % CLASSES] -= 1
         p /= n
         gh = p @ wc.T
         g_wc, g_bc = h.T @ p, p.sum(axis=0)
         g_ww, g_bw = np.zeros_like(ww), np.zeros_like(bw)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        z = np.empty((n, INSIDE), np.float32)
+        for c in range(CLASSES):
+            own = slice(cut[c], cut[c + 1])
+            np.matmul(h[own], ww[c], out=z[own])
+            z[own] += bw[c]
+        _, q = _softmax(z)
+        q[row, words // CLASSES] -= 1
+        q /= n
         for c in range(CLASSES):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                _, q = _softmax(h[rows] @ ww[c] + bw[c])
-                q[np.arange(len(rows)), own[rows]] -= 1
-                q /= n
-                gh[rows] += q @ ww[c].T
-                g_ww[c], g_bw[c] = h[rows].T @ q, q.sum(axis=0)
+            own = slice(cut[c], cut[c + 1])
+            gh[own] += q[own] @ ww[c].T
+            np.matmul(h[own].T, q[own], out=g_ww[c])
+            g_bw[c] = q[own].sum(axis=0)
         gx = gh * (1 - h * h)
         for j in range(len(REACH)):
-            order = np.argsort(around[j], kind="stable")
-            rows = around[j][order]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            g = np.add.reduceat(gx[order], first, axis=0)
-            rows = rows[first]
+            rows, number = np.unique(around[j], return_inverse=True)
+            g = np.bincount((number[:, None] * HIDDEN + np.arange(HIDDEN)).ravel(), gx.ravel(), len(rows) * HIDDEN).reshape(-1, HIDDEN).astype(np.float32)
             g[rows == SIZE] = 0
             self.seen[0][j, rows] += (g * g).mean(axis=1)
             emb[j][rows] -= STEP * g / np.sqrt(self.seen[0][j, rows])[:, None]
@@ -206,8 +219,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray
                     around = contexts(ids, w.offsets)
                     doc = np.repeat(np.arange(hi - lo), np.diff(w.offsets))
                     key = K.mix(w.hashes + (np.arange(len(ids)) - w.offsets[doc]).astype(np.uint64))
-                    pick = np.flatnonzero(key % np.uint64(RATE) == 0)
-                    pick = pick[np.argsort(key[pick], kind="stable")]
+                    pick = np.argsort(key, kind="stable")
                     held.append((around[:, pick], ids[pick]))
                     n_held += len(pick)
                     if n_held >= BATCH:

@@ -212,6 +212,13 @@ def test_pseudo_likelihood_beats_frequencies(spark):
     assert abs(np.exp(p).sum() - 1) < 1e-3
 
 
+def test_pseudo_likelihood_learns_from_every_window_in_production_rounds(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"a{(s + j) % 40}" for j in range(60)) for s in (rng.randrange(40) for _ in range(1500))]
+    got = pseudolikelihood.score(frame(spark, list(enumerate(texts))).repartition(2)).collect()
+    assert sum(r["pll"] for r in got) / sum(r["n_words"] for r in got) > -np.log(40) + 0.5
+
+
 def test_warc_round_trip_and_determinism(spark, tmp_path):
     rows = [(i, f"http://h{i % 7}.example.org/{i}", f"<p>{'é' * (i % 50)}</p>") for i in range(200)] + [(None, None, None), (3, "http://h3.example.org/3", "<p>ééé</p>"), (4, "nonsense", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
