@@ -6,7 +6,9 @@ the cost is 2 x 64 outputs a word and the probabilities still add up to 1 over t
 document is the sum of the log-probabilities of all its words.
 
 Vocabulary: exact counts of all words of all documents; the 3,584 most frequent are words of their own, the
-rest share 512 classes by hash.  Training: in each of ``ROUNDS`` rounds every partition trains, from the same start, on all
+rest share 512 slots by hash.  The network gives a slot's probability; a word of it has the share n / (N + 1) of that,
+by its own count n and the slot's count N, both exact over the corpus.  The share 1 / (N + 1) is kept for words that occur
+nowhere.  The counts of words outside the vocabulary reach the documents by a shuffled join.  Training: in each of ``ROUNDS`` rounds every partition trains, from the same start, on all
 windows of all its documents, mixed by a hash of text and place within a run of documents, then the weights are averaged by the number of
 windows (parameter mixing).  Averages are built by a shuffle per slice of the weights; the driver gets one model of 2 MB, whatever the input.
 
@@ -191,10 +193,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary and the mixed weights."""
+def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The vocabulary, the mixed weights and the words that each slot stands for, counted."""
     sc = docs.sparkSession.sparkContext
-    counts = materialise(word_counts(docs), "words")
     best = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
     top = np.array([r["word"] for r in best], np.int64).view(np.uint64)
     known = np.zeros(SIZE)
@@ -260,15 +261,48 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray
         if not got:
             break
         flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
-    return vocabulary, flat
+    return vocabulary, flat, rest
+
+
+def shares(docs: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """By hash of the text, ``tail``: the sum of the log-probabilities of its words outside the vocabulary, given their slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, _, rest = shared.value
+        for batch in batches:
+            texts, keys = K.column(batch, "text"), K.column(batch, "th").to_numpy()
+            for lo, hi in K.chunks(texts):
+                w = K.words(texts.slice(lo, hi - lo))
+                ids = vocabulary.ids(w.hashes)
+                tail = np.flatnonzero(ids >= TOP)
+                doc = np.repeat(np.arange(lo, hi), np.diff(w.offsets))[tail]
+                order = np.lexsort((w.hashes[tail], doc))
+                doc, word, slot = doc[order], w.hashes[tail][order], ids[tail][order] - TOP
+                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.concatenate([[True], word[1:] != word[:-1]])[: len(word)])
+                times = np.diff(np.append(first, len(word)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[doc[first]]), pa.array(word[first].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(np.log(rest[slot[first]] + 1))],
+                    names=["th", "word", "times", "of_slot"],
+                )
+
+    n = F.coalesce(F.col("n"), F.lit(1))
+    return (
+        docs.select(F.xxhash64("text").alias("th"), "text")
+        .dropDuplicates(["th"])
+        .mapInArrow(run, "th long, word long, times int, of_slot double")
+        .join(counts, "word", "left")
+        .groupBy("th")
+        .agg(F.sum(F.col("times") * (F.log(n.cast("double")) - F.col("of_slot"))).alias("tail"))
+    )
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``pll`` (sum of log-probabilities) and ``pll_per_word``."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, rounds))
+    counts = materialise(word_counts(docs), "words")
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, counts, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = shared.value
+        vocabulary, flat, _ = shared.value
         weights = unflat(flat)
         for batch in batches:
             texts = K.column(batch, "text")
@@ -280,6 +314,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 doc = np.repeat(np.arange(hi - lo), np.diff(w.offsets))
                 n[lo:hi] = np.diff(w.offsets)
                 total[lo:hi] = np.bincount(doc, lp, hi - lo)
-            yield pa.RecordBatch.from_arrays([K.column(batch, "doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_words", "pll", "pll_per_word"])
+            yield pa.RecordBatch.from_arrays([K.column(batch, "doc_id"), K.column(batch, "th"), pa.array(n), pa.array(total)], names=["doc_id", "th", "n_words", "slots"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, pll double, pll_per_word double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_words long, slots double")
+    pll = F.col("slots") + F.coalesce(F.col("tail"), F.lit(0.0))
+    return scored.join(shares(docs, counts, shared), "th", "left").select("doc_id", "n_words", pll.alias("pll"), (pll / F.greatest("n_words", F.lit(1))).alias("pll_per_word"))

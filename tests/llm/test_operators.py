@@ -219,6 +219,17 @@ def test_pseudo_likelihood_learns_from_every_window_in_production_rounds(spark):
     assert sum(r["pll"] for r in got) / sum(r["n_words"] for r in got) > -np.log(40) + 0.5
 
 
+def test_pseudo_likelihood_tells_words_of_one_slot_apart(spark):
+    names = [f"rare{i}" for i in range(600)]
+    slots = pseudolikelihood.Vocabulary(np.zeros(0, np.uint64)).ids(K.words(pa.array([" ".join(names)])).hashes)
+    one, two = next((names[i], names[j]) for j in range(600) for i in range(j) if slots[i] == slots[j])
+    top = " ".join(f"t{i} t{i} t{i} t{i}" for i in range(pseudolikelihood.TOP))
+    docs = frame(spark, [(1, top), (2, one), (3, one), (4, one), (5, two), (None, None), (8, "")])
+    got = {r["doc_id"]: r["pll"] for r in pseudolikelihood.score(docs).collect()}
+    assert got[2] == got[3] and abs(got[2] - got[5] - np.log(3)) < 1e-6
+    assert len(got) == 7 and got[None] == got[8] == 0
+
+
 def test_warc_round_trip_and_determinism(spark, tmp_path):
     rows = [(i, f"http://h{i % 7}.example.org/{i}", f"<p>{'é' * (i % 50)}</p>") for i in range(200)] + [(None, None, None), (3, "http://h3.example.org/3", "<p>ééé</p>"), (4, "nonsense", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
