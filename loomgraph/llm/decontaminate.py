@@ -1,14 +1,14 @@
-"""Benchmark decontamination with a generalised suffix automaton of normalised test items.
+"""Benchmark decontamination by the longest matches of every normalised test item.
 
-The words of each item go into one suffix automaton.  A document's words stream through it; whenever the
-longest match with any item stops growing, it is a *span* if it has ``SEED`` words or more.  Removed are
-spans of at least ``max_match`` words, and all spans of an item if together they cover at least the share
-``max_coverage`` of its words.  A span counts for every item that contains it.
+A *span* of an item is a run of a document's words that occurs in the item, that neither neighbour in the document
+prolongs, of ``SEED`` words or more.  Removed are spans of at least ``max_match`` words, and all spans of an item
+if the document has at least the share ``max_coverage`` of the item's words: places of the item count, each once, however
+often the document repeats them.  Every item is judged by itself, whatever longer items the document also matches.
 
-Only stretches where every run of ``SEED`` words occurs in some item enter the automaton, since no span
-lies outside them: a bit table over hashes of these runs skips the rest of the corpus in a few numpy
-passes.  Items are split so that no automaton has more than ``shard_words`` words: the driver builds
-and broadcasts automata of that bound one after the other, and documents stream through each.
+Only stretches where every run of ``SEED`` words occurs in some item are looked at, since no span lies outside
+them: a bit table over hashes of these runs skips the rest of the corpus in a few numpy passes.  The runs' places
+in the items give the shares; the suffix automaton of each item to remove gives its spans.  Items are split into
+tables of about ``shard_words`` words, on which no result depends.
 
 Defined results: null or empty texts and items match nothing; an item shorter than ``SEED`` words is a span
 by itself if all of it occurs; repeated items and rows count like single ones; whole texts stream,
@@ -18,7 +18,7 @@ whatever their length; without items nothing is removed.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,21 +102,43 @@ class Automaton:
                 yield i - had, i, before
 
 
+class Places:
+    """Where each run of ``n`` words occurs in the items."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], n: int, fits: Callable[[int], bool]):
+        own = [(k, K.grams(w, n)) for k, (_, w) in enumerate(items) if fits(len(w))]
+        h = np.concatenate([g for _, g in own] or [np.zeros(0, np.uint64)])
+        item = np.repeat(np.array([k for k, _ in own], np.int64), [len(g) for _, g in own])
+        at = np.concatenate([np.arange(len(g)) for _, g in own] or [np.zeros(0, np.int64)])
+        order = np.argsort(h, kind="stable")
+        self.item, self.at = item[order], at[order]
+        self.hashes, self.first = np.unique(h[order], return_index=True)
+        self.end = np.append(self.first[1:], len(h))
+
+    def hit(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places in them of the distinct runs among ``hashes``."""
+        _, _, at = np.intersect1d(hashes, self.hashes, return_indices=True)
+        times = self.end[at] - self.first[at]
+        row = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - self.first[at], times)
+        return self.item[row], self.at[row]
+
+
 class Matcher:
-    """An automaton with the seed tables that lead to it."""
+    """Items with the seed tables that lead to them."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], seed: int):
-        self.automaton = Automaton([(k, w.tolist()) for k, w in items])
+    def __init__(self, items: list[tuple[int, np.ndarray]], seed: int, max_match: int = MAX_MATCH):
+        self.items, self.seed, self.max_match = items, seed, max_match
+        self.size = np.array([len(w) for _, w in items])
+        self.places: dict[int, Places] = {}
         self.seeds: dict[int, np.ndarray] = {}
         self.table: dict[int, np.ndarray] = {}
         for n in sorted({min(seed, len(w)) for _, w in items}):
-            g = np.unique(np.concatenate([K.grams(w, n) for _, w in items if (len(w) == n < seed) or (n == seed and len(w) >= seed)] or [np.zeros(0, np.uint64)]))
-            self.seeds[n] = g
+            self.places[n] = Places(items, n, lambda size, n=n: min(seed, size) == n)
+            g = self.seeds[n] = self.places[n].hashes
             bit = np.zeros(1 << _BITS, bool)
             bit[g >> np.uint64(64 - _BITS)] = True
             self.table[n] = bit
-        self.short = {len(w) for _, w in items if len(w) < seed}
-        self.seed = seed
+        self.long = Places(items, max(seed, max_match), lambda size: size >= max(seed, max_match))
 
     def stretches(self, w: K.Words) -> list[tuple[int, int, int]]:
         """(document, first, end) of stretches made of seeds."""
@@ -141,29 +163,39 @@ class Matcher:
                 a, d = end, d + 1
         return out
 
-    def find(self, w: K.Words, max_match: int, max_coverage: float) -> dict[int, list[tuple[int, int, tuple[int, ...]]]]:
+    def find(self, w: K.Words, max_coverage: float) -> dict[int, list[tuple[int, int, tuple[int, ...]]]]:
         """Removed spans (first, end, items) by document."""
-        spans: dict[int, list] = {}
+        by_doc: dict[int, list[tuple[int, int]]] = {}
         for d, a, b in self.stretches(w):
-            for lo, hi, state in self.automaton.spans(w.doc(d)[a:b].tolist(), min(self.short | {self.seed})):
-                own = self.automaton.of[state]
-                if hi - lo >= self.seed or any(self.automaton.size[k] == hi - lo for k in own):
-                    spans.setdefault(d, []).append((a + lo, a + hi, own))
+            by_doc.setdefault(d, []).append((a, b))
+        automata: dict[int, Automaton] = {}
         out = {}
-        for d, own in spans.items():
-            covered: dict[int, set[int]] = {}
-            for lo, hi, ks in own:
-                for k in ks:
-                    covered.setdefault(k, set()).update(range(lo, hi))
-            over = {k for k, at in covered.items() if len(at) >= max_coverage * self.automaton.size[k]}
-            gone = [(lo, hi, tuple(sorted(ks & over or ks))) for lo, hi, ks in own if hi - lo >= max_match or ks & over]
+        for d, parts in by_doc.items():
+            words = w.doc(d)
+            runs = lambda n: np.concatenate([K.grams(words[a:b], n) for a, b in parts])
+            covered = np.zeros(len(self.items), np.int64)
+            for n, places in self.places.items():
+                item, at = places.hit(runs(n))
+                key = np.unique(((item << 32) + at)[:, None] + np.arange(n))
+                covered += np.bincount(key >> 32, minlength=len(self.items))
+            over = (covered > 0) & (covered >= max_coverage * self.size)
+            live = over | ((covered > 0) & (self.size < self.seed) & (self.size >= self.max_match))
+            live[self.long.hit(runs(max(self.seed, self.max_match)))[0]] = True
+            gone: dict[tuple[int, int], set[int]] = {}
+            for k in np.flatnonzero(live).tolist():
+                if k not in automata:
+                    automata[k] = Automaton([(k, self.items[k][1].tolist())])
+                for a, b in parts:
+                    for lo, hi, _ in automata[k].spans(words[a:b].tolist(), min(self.seed, int(self.size[k]))):
+                        if over[k] or hi - lo >= self.max_match:
+                            gone.setdefault((a + lo, a + hi), set()).add(self.items[k][0])
             if gone:
-                out[d] = gone
+                out[d] = [(lo, hi, tuple(sorted(ks))) for (lo, hi), ks in gone.items()]
         return out
 
 
-def matchers(benchmark: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS) -> Iterator[Matcher]:
-    """Automata of bounded size, one after the other."""
+def matchers(benchmark: DataFrame, seed: int = SEED, shard_words: int = SHARD_WORDS, max_match: int = MAX_MATCH) -> Iterator[Matcher]:
+    """Tables of bounded size, one after the other."""
     items: list[tuple[int, np.ndarray]] = []
     size = 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna(subset=["text"]).distinct().orderBy("item_id", "text")
@@ -174,36 +206,37 @@ def matchers(benchmark: DataFrame, seed: int = SEED, shard_words: int = SHARD_WO
         items.append((-1 if row["item_id"] is None else row["item_id"], w))
         size += len(w)
         if size >= shard_words:
-            yield Matcher(items, seed)
+            yield Matcher(items, seed, max_match)
             items, size = [], 0
     if items:
-        yield Matcher(items, seed)
+        yield Matcher(items, seed, max_match)
 
 
 _SPAN = "array<struct<first_word: int, n_words: int, item_ids: array<long>>>"
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, max_match: int, max_coverage: float) -> list:
+def _search(docs: DataFrame, benchmark: DataFrame, max_match: int, shard_words: int = SHARD_WORDS) -> list:
     sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(m) for m in matchers(benchmark)]
+    return [sc.broadcast(m) for m in matchers(benchmark, shard_words=shard_words, max_match=max_match)]
 
 
-def _found(shared: list, texts: pa.Array, max_match: int, max_coverage: float) -> Iterator[tuple[int, int, list]]:
+def _found(shared: list, texts: pa.Array, max_coverage: float) -> Iterator[tuple[int, int, list]]:
     """(row, words, spans) of the rows with anything to remove."""
     for lo, hi in K.chunks(texts):
         w = K.words(texts.slice(lo, hi - lo))
-        by_doc: dict[int, list] = {}
+        by_doc: dict[int, dict] = {}
         for one in shared:
-            for d, spans in one.value.find(w, max_match, max_coverage).items():
-                by_doc.setdefault(d, []).extend(spans)
+            for d, spans in one.value.find(w, max_coverage).items():
+                for first, end, ks in spans:
+                    by_doc.setdefault(d, {}).setdefault((first, end), set()).update(ks)
         for d, spans in sorted(by_doc.items()):
-            yield lo + d, int(w.offsets[d + 1] - w.offsets[d]), sorted(set(spans))
+            yield lo + d, int(w.offsets[d + 1] - w.offsets[d]), [(*at, tuple(sorted(ks))) for at, ks in sorted(spans.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MATCH, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MATCH, max_coverage: float = MAX_COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document with a removed span: ``doc_id``, ``n_words``, ``n_removed`` words, ``longest``
     match, ``item_ids``, ``spans`` and the cleaned ``text``."""
-    shared = _search(docs, benchmark, max_match, max_coverage)
+    shared = _search(docs, benchmark, max_match, shard_words)
     span = pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("item_ids", pa.list_(pa.int64()))])
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int32()), ("n_removed", pa.int32()), ("longest", pa.int32()), ("item_ids", pa.list_(pa.int64())), ("spans", pa.list_(span)), ("text", pa.string())])
 
@@ -211,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MAT
         for batch in batches:
             texts, ids = K.column(batch, "text"), K.column(batch, "doc_id")
             rows = []
-            for i, n, spans in _found(shared, texts, max_match, max_coverage):
+            for i, n, spans in _found(shared, texts, max_coverage):
                 rows.append(
                     {
                         "doc_id": ids[i].as_py(),
@@ -234,7 +267,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MAT
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MATCH, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """``docs`` with the spans cut out, all columns kept, in one pass without a shuffle.  ``n_chars``, where
     it is there, follows the text; a document of which no word is left is dropped, others are unchanged."""
-    shared = _search(docs, benchmark, max_match, max_coverage)
+    shared = _search(docs, benchmark, max_match)
 
     @F.pandas_udf("string")
     def cleaned(text):
@@ -242,7 +275,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MA
 
         out = text.to_numpy(dtype=object, copy=True)
         texts = pa.array(text, pa.large_string())
-        for i, n, spans in _found(shared, texts, max_match, max_coverage):
+        for i, n, spans in _found(shared, texts, max_coverage):
             gone = len({x for lo, hi, _ in spans for x in range(lo, hi)})
             out[i] = "" if gone == n else without_spans(out[i], [s[:2] for s in spans])
         return pd.Series(out)

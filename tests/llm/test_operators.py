@@ -153,6 +153,16 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 7
 
 
+def test_decontamination_credits_every_item(spark):
+    rng = random.Random(12)
+    long = [f"u{i}" for i in range(60)]
+    short = long[20:28]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, "tiny two")], "item_id long, text string")
+    docs = frame(spark, [(1, f"{prose(rng, 20)} {' '.join(long[20:29])} {prose(rng, 20)}"), (2, "x tiny two y"), (3, "x " + " ".join(long[5:20]) + " tiny two")])
+    made = [sorted((r["doc_id"], r["n_removed"], r["item_ids"], r["spans"]) for r in decontaminate.contaminated(docs, bench, shard_words=n).collect()) for n in (1, 1000)]
+    assert made[0] == made[1] and [x[:3] for x in made[0]] == [(1, 8, [2]), (2, 2, [3]), (3, 17, [1, 3])]
+
+
 def test_packing(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(1, 60))) for i in range(80)] + [(90, None), (91, ""), (92, prose(rng, 500)), (1, "again")]
