@@ -163,6 +163,15 @@ def test_decontamination_credits_every_item(spark):
     assert made[0] == made[1] and [x[:3] for x in made[0]] == [(1, 8, [2]), (2, 2, [3]), (3, 17, [1, 3])]
 
 
+def test_decontamination_counts_words_of_the_item(spark):
+    rng = random.Random(13)
+    item = [f"v{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    stock = " ".join(item[:5])
+    docs = frame(spark, [(1, f"{stock} {prose(rng, 9)} {stock} {prose(rng, 9)} {stock}"), (2, f"{stock} {prose(rng, 9)} {' '.join(item[9:14])}")])
+    assert {r["doc_id"]: r["n_removed"] for r in decontaminate.contaminated(docs, bench).collect()} == {2: 10}
+
+
 def test_packing(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randrange(1, 60))) for i in range(80)] + [(90, None), (91, ""), (92, prose(rng, 500)), (1, "again")]
