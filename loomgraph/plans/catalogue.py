@@ -170,8 +170,7 @@ def polymorphic_fanin(spark, sf_dir):
 
 def _walk(spark, sf_dir):
     nodes, edges = P.graph(spark, sf_dir)
-    near = edges.filter("kind IN ('imports', 'extends')")
-    return nodes, graph.pagerank(nodes.filter("kind IN ('interface', 'struct')"), near, nodes.filter(F.col("id") == HUB))
+    return nodes, graph.pagerank(nodes, edges.filter("kind != 'contains'"), nodes.filter(F.col("id") == HUB))
 
 
 @query()

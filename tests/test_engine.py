@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 
 from loomgraph.plans import catalogue
@@ -39,3 +40,21 @@ def test_without_corpus_operators():
     import __spark_entry__ as entry
 
     assert set(catalogue.QUERIES) <= set(entry.queries())
+
+
+def test_registered_walk_equals_numpy(spark):
+    nodes, edges = projection.graph(spark, SF)
+    number = {r["id"]: i for i, r in enumerate(nodes.select("id").collect())}
+    ends = edges.filter("kind != 'contains'").select("source", "target").collect()
+    a, b = (np.array([number[r[k]] for r in ends]) for k in ("source", "target"))
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    degree = np.bincount(a, minlength=len(number))
+    start = np.zeros(len(number))
+    start[number[catalogue.HUB]] = 1
+    mass = start
+    for _ in range(25):
+        moved = np.bincount(b, mass[a] / degree[a], len(number)) + np.where(degree == 0, mass, 0)
+        mass = 0.25 * start + 0.75 * moved
+    got = {r["id"]: r["mass"] for r in catalogue.QUERIES["pagerank_rwr"](spark, SF).collect()}
+    assert set(got) == set(number) and max(abs(got[k] - mass[i]) for k, i in number.items()) < 1e-8
+    assert abs(sum(got.values()) - 1) < 1e-5
