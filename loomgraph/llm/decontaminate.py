@@ -233,6 +233,11 @@ def _found(shared: list, texts: pa.Array, max_coverage: float) -> Iterator[tuple
             yield lo + d, int(w.offsets[d + 1] - w.offsets[d]), [(*at, tuple(sorted(ks))) for at, ks in sorted(spans.items())]
 
 
+def _cut(text: pa.Array, spans: list) -> str:
+    first, end = np.array([s[:2] for s in spans]).T
+    return without_spans(text, np.zeros(len(first), np.int64), first, end)[0].as_py()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MATCH, max_coverage: float = MAX_COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document with a removed span: ``doc_id``, ``n_words``, ``n_removed`` words, ``longest``
     match, ``item_ids``, ``spans`` and the cleaned ``text``."""
@@ -253,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MAT
                         "longest": max(hi - lo for lo, hi, _ in spans),
                         "item_ids": sorted({k for *_, ks in spans for k in ks}),
                         "spans": [{"first_word": lo, "n_words": hi - lo, "item_ids": list(ks)} for lo, hi, ks in spans],
-                        "text": without_spans(texts[i].as_py(), [s[:2] for s in spans]),
+                        "text": _cut(texts.slice(i, 1), spans),
                     }
                 )
             if rows:
@@ -277,7 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_match: int = MAX_MA
         texts = pa.array(text, pa.large_string())
         for i, n, spans in _found(shared, texts, max_coverage):
             gone = len({x for lo, hi, _ in spans for x in range(lo, hi)})
-            out[i] = "" if gone == n else without_spans(out[i], [s[:2] for s in spans])
+            out[i] = "" if gone == n else _cut(texts.slice(i, 1), spans)
         return pd.Series(out)
 
     (new,) = fresh(docs, "clean_text")

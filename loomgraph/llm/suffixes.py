@@ -1,34 +1,35 @@
 """Maximal repeats over a whole corpus, from the common-prefix interval tree of a suffix array.
 
-A *repeat* is a run of at least ``MIN_WORDS`` words that occurs in two documents or more; it is maximal
-if its occurrences can't all be extended by one word to either side.  The result has every maximal repeat
-with all its occurrences.
+A *repeat* is a run of at least ``MIN_WORDS`` words that stands at two places or more, in one document or in
+several; it is maximal if its places can't all be extended by one word to either side.  The result has every
+maximal repeat with all its places.
 
 All suffixes that share ``MIN_WORDS`` words lie in one bucket of the suffix array, keyed by the hash of
 those words, so buckets are sorted and scanned apart from each other.  Buckets travel by their *route*, the least
-26-gram of those words, as suffixes of one document with the same route need its words only once.  Within one bucket, suffixes are sorted,
-common prefixes of neighbours taken, and a stack scan closes the intervals of the prefix tree; an interval
+26-gram of those words, as suffixes of one document with the same route need its words only once.  Many buckets are
+sorted at once in numpy: a member leads each group, binary search over prefix hashes gives every member's common
+prefix with its leader, and groups split by it.  A stack scan closes the intervals of the prefix tree; an interval
 is output if the words before its suffixes differ (the start of a document differs from all).
 
 What is not needed never enters a bucket.  Every run of 50 words holds an *anchor*: a 26-gram whose hash is
-least among 25 neighbours, chosen by content alone.  Only anchors that stand in two documents matter, and
-between two neighbouring anchors that occur at the same shifted places (seen from their counts and two
-linear fingerprints of the places), no repeat can begin, as the word before would be the same everywhere.
+least among 25 neighbours, chosen by content alone.  Only anchors that stand at two places matter, and
+between two neighbouring anchors that stand at the same shifted places (seen from their counts and a
+fingerprint of the places that shifts with them), no repeat can begin, as the word before would be the same everywhere.
 
-Documents with the very same text go through as one, with the list of their ids: their words stand at
-the same places, so occurrences are given as lists of ids and lists of places for each distinct text.
+Documents with the very same text go through as one, with the list of their ids.
 
 Defined results: null, empty or shorter texts hold no repeat; rows that repeat in full are one
-document; repeats inside one document alone don't count; a null id counts as one document and stands first in a list.
+document; a null id counts as one document and comes after all others; places may overlap, and a text with a
+period of t words has a repeat for every multiple of t, whose places are given as one progression.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ from .common import fresh, materialise, row_key
 MIN_WORDS = 50
 ANCHOR = 26
 NEIGHBOURS = MIN_WORDS - ANCHOR + 1
-_SLICE, _FLUSH = 256, 20_000  # rows turned into objects, and places held, at a time
+_FLUSH = 1 << 17  # places expanded at a time
+_NULL = np.iinfo(np.int64).max  # stands for a null id; sorts last
 
 
 def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -70,11 +72,11 @@ def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return doc, at - w.offsets[doc], g[at], np.concatenate([least, np.zeros(n - m, np.uint64)])
 
 
-def _starts(n: int, at: np.ndarray, fp: np.ndarray, least: np.ndarray, count: np.ndarray, s2: np.ndarray, s3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _starts(n: int, at: np.ndarray, fp: np.ndarray, least: np.ndarray, count: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a maximal repeat may begin, and the end of the run of words it must stay in.
 
-    ``at``, ``fp``: anchors of a document of n words; ``least``: of every word; ``count``: documents' places of
-    each anchor, 0 if not repeated.  A repeat holds all the windows of MIN_WORDS from its first word on, and
+    ``at``, ``fp``: anchors of a document of n words; ``least``: of every word; ``count``: places of
+    each anchor, 0 if not repeated; ``places``: their fingerprint.  A repeat holds all the windows of MIN_WORDS from its first word on, and
     these choose the same anchors wherever it stands; other anchors inside it may come from windows that reach out of it."""
     if n < MIN_WORDS or not len(at):
         return at[:0], at[:0]
@@ -87,7 +89,7 @@ def _starts(n: int, at: np.ndarray, fp: np.ndarray, least: np.ndarray, count: np
         wrong = wrong[fp[own[wrong]] != least[wrong]]
     rep = count > 0
     same = np.zeros(len(at), bool)
-    same[1:] = rep[1:] & rep[:-1] & (count[1:] == count[:-1]) & (s2[1:] == s2[:-1]) & (s3[1:] == s3[:-1] + np.diff(at) * s2[1:])
+    same[1:] = rep[1:] & rep[:-1] & (count[1:] == count[:-1]) & (places[1:] == places[:-1] * K._WORDS.get(n + 1)[0][np.diff(at)])
     # no start where an anchor before p stands at the same places as the one of the window
     breaks = np.cumsum(~same)
     joined = (before > 0) & (breaks[own] == breaks[np.maximum(before - 1, 0)])
@@ -102,45 +104,87 @@ def _starts(n: int, at: np.ndarray, fp: np.ndarray, least: np.ndarray, count: np
     return p[fits], e[fits]
 
 
-def tree(suffixes: list[bytes], left: list[int], docs: list[int], copies: list[int], least: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
-    """(length, first, last) of the left-diverse intervals with two documents of a *sorted* suffix list.
-
-    Words are 4 bytes each.  left: a hash of the word before, -1 at the start of a document; docs: its
-    text; copies: how many documents have this text.  A text with copies is an interval by itself."""
-    stack: list[list[int]] = []  # length, first, left word or -1 if they differ, least and greatest text, most copies
-    n, before = len(suffixes), -1
-    for i in range(n):
-        lcp = -1
-        if i + 1 < n:
-            a, b = suffixes[i], suffixes[i + 1]
-            m = min(len(a), len(b))
-            if a[:m] == b[:m]:
-                lcp = m // 4
-            else:
-                lcp = int(np.argmax(np.frombuffer(a, np.uint32, m // 4) != np.frombuffer(b, np.uint32, m // 4)))
-        own = len(suffixes[i]) // 4
-        if copies[i] > 1 and left[i] == -1 and own >= least and own > max(before, lcp):
-            yield own, i, i
-        before = lcp
-        item = [0, i, left[i], docs[i], docs[i], copies[i]]
-        while stack and stack[-1][0] > lcp:
-            length, first, *rest = stack.pop()
-            item = [0, first, *_joined(rest, item[2:])]
-            if item[2] == -1 and (item[3] != item[4] or item[5] > 1) and length >= least:
+def prefixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, down): (run[b] - run[a]) * down[a] is a hash of words[a:b]."""
+    up, down = K._WORDS.get(len(words) + 1)
+    run = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=run[1:])
+    return run, down
+
+
+def suffix_array(words: np.ndarray, first: np.ndarray, end: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes words[first[i] : end[i]] sorted within their buckets, and the common prefix of each with the next, -1 at
+    the end of a bucket.  The suffixes of one bucket share their first MIN_WORDS words."""
+    n = len(first)
+    order = np.lexsort((first, bucket))
+    lcp = np.full(n, -1, np.int64)
+    run, down = prefixes(words)
+    size = end - first
+
+    def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes a and b, at least MIN_WORDS."""
+        pa_, pb = first[a], first[b]
+        da, db, ra, rb = down[pa_], down[pb], run[pa_], run[pb]
+        lo, hi = np.minimum(MIN_WORDS, np.minimum(size[a], size[b])), np.minimum(size[a], size[b])
+        full = (run[pa_ + hi] - ra) * da == (run[pb + hi] - rb) * db
+        lo = np.where(full, hi, lo)
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live] + 1) >> 1
+            good = (run[pa_[live] + mid] - ra[live]) * da[live] == (run[pb[live] + mid] - rb[live]) * db[live]
+            lo[live] = np.where(good, mid, lo[live])
+            hi[live] = np.where(good, hi[live], mid - 1)
+            live = live[lo[live] < hi[live]]
+        return lo
+
+    key = bucket[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    group = np.cumsum(new) - 1  # of each slot
+    slots = np.arange(n)
+    big = np.int64(1) << 40
+    while len(slots):
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        count = np.diff(np.append(start, len(slots)))
+        lead = np.repeat(order[slots[start + count // 2]], count)
+        own = order[slots]
+        length = common(lead, own)
+        nxt = np.where(length < size[own], words[np.minimum(first[own] + length, len(words) - 1)], np.uint64(0))
+        other = np.where(length < size[lead], words[np.minimum(first[lead] + length, len(words) - 1)], np.uint64(0))
+        side = (nxt > other).astype(np.int8) - (nxt < other).astype(np.int8)
+        rank = np.where(side < 0, length, np.where(side > 0, 2 * big - length, big))
+        by = np.lexsort((nxt, rank, group))
+        order[slots] = own[by]
+        length, nxt, side, rank = length[by], nxt[by], side[by], rank[by]
+        inner = np.flatnonzero(group[1:] == group[:-1])
+        lcp[slots[inner]] = np.where(side[inner] < 0, length[inner], length[inner + 1])
+        cut = np.ones(len(slots), bool)
+        cut[1:] = (group[1:] != group[:-1]) | (rank[1:] != rank[:-1]) | (nxt[1:] != nxt[:-1])
+        part = np.cumsum(cut) - 1
+        go = (side != 0) & (np.bincount(part)[part] > 1)
+        slots, group = slots[go], part[go]
+        group = np.cumsum(np.diff(group, prepend=-1) != 0) - 1
+    return order, lcp
+
+
+def tree(lcp: list[int], left: list[int], least: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
+    """(length, first, last) of the left-diverse intervals of a suffix array.  left: the word before each suffix,
+    0 if it differs from all."""
+    stack: list[list[int]] = []  # length, first, left word or 0 if they differ
+    for i, depth in enumerate(lcp):
+        first, word = i, left[i]
+        while stack and stack[-1][0] > depth:
+            length, first, other = stack.pop()
+            if word != other:
+                word = 0
+            if not word and length >= least:
                 yield length, first, i
-        if lcp >= 0:
-            if stack and stack[-1][0] == lcp:
-                stack[-1][2:] = _joined(stack[-1][2:], item[2:])
+        if depth >= 0:
+            if stack and stack[-1][0] == depth:
+                if stack[-1][2] != word:
+                    stack[-1][2] = 0
             else:
-                stack.append([lcp, *item[1:]])
-
-
-def _joined(a: list[int], b: list[int]) -> list[int]:
-    return [a[0] if a[0] == b[0] else -1, min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-
-
-def _words32(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(32)).astype(">u4")
+                stack.append([depth, first, word])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -153,14 +197,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in K.chunks(texts):
             doc, at, fp, _ = anchors(K.words(texts.slice(lo, hi - lo)))
             if len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(dk[lo:hi][doc]), pa.array(at.astype(np.int32)), pa.array(fp.view(np.int64))], names=["dk", "at", "fp"])
+                own = dk[lo:hi][doc]
+                place = K.mix(own.view(np.uint64)) * K._WORDS.get(int(at.max()) + 1)[0][at]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(place.view(np.int64))], names=["dk", "at", "fp", "place"])
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in parts]).astype(np.int32), np.concatenate(parts))
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["dk", "ids", "base", "words", "p", "e", "lh", "before", "route"]
     for batch in batches:
-        texts = K.column(batch, "text")
-        hits = K.column(batch, "hits")
+        texts, hits = K.column(batch, "text"), K.column(batch, "hits")
         ids, dks = K.column(batch, "ids"), K.column(batch, "dk")
         for lo, hi in K.chunks(texts):
             w = K.words(texts.slice(lo, hi - lo))
@@ -170,231 +219,285 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for i in range(hi - lo):
                 mine = at[cut[i] : cut[i + 1]]
                 h = hits[lo + i].values
-                known = h.field("at").to_numpy()
-                order = np.argsort(known, kind="stable")
-                first = np.ones(len(known), bool)
-                first[1:] = np.diff(known[order]) > 0
-                order = order[first]
-                where = np.searchsorted(mine, known[order])
-                count, s2, s3 = (np.zeros(len(mine), np.int64) for _ in range(3))
-                for a, name in ((count, "n"), (s2, "s2"), (s3, "s3")):
-                    a[where] = h.field(name).to_numpy()[order]
+                known, first = np.unique(h.field("at").to_numpy(), return_index=True)
+                where = np.searchsorted(mine, known)
+                count, places = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.uint64)
+                count[where] = h.field("n").to_numpy()[first]
+                places[where] = h.field("lo").to_numpy()[first].astype(np.uint64) + (h.field("hi").to_numpy()[first].astype(np.uint64) << np.uint64(32))
                 hashes = w.doc(i)
-                p, e = _starts(len(hashes), mine, fp[cut[i] : cut[i + 1]], least[w.offsets[i] : w.offsets[i + 1]], count, s2, s3)
+                p, e = _starts(len(hashes), mine, fp[cut[i] : cut[i + 1]], least[w.offsets[i] : w.offsets[i + 1]], count, places)
                 if not len(p):
                     continue
                 base, end = int(p.min()), int(e.max())
-                before = np.where(p > 0, (hashes[p - 1] >> np.uint64(33)).astype(np.int64), -1)
+                before = np.where(p > 0, hashes[p - 1], np.uint64(0)).view(np.int64)
                 lh = K.grams(hashes, MIN_WORDS)[p].view(np.int64)
                 route = least[w.offsets[i] + p].view(np.int64)
                 rows.append(lo + i)
-                for a, x in zip(out, (base, _words32(hashes[base:end]).tobytes(), p.astype(np.int32), e.astype(np.int32), lh, before, route)):
+                for a, x in zip(out, (base, hashes[base:end].tobytes(), p.astype(np.int32), e.astype(np.int32), lh, before, route)):
                     a.append(x)
             if rows:
                 base, words, *lists = out
-                size = np.cumsum([0] + [len(x) for x in lists[0]]).astype(np.int32)
-                arrays = [pa.ListArray.from_arrays(size, np.concatenate(x)) for x in lists]
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([dks.take(take), ids.take(take), pa.array(base, pa.int32()), pa.array(words, pa.binary()), *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([dks.take(take), ids.take(take), pa.array(base, pa.int32()), pa.array(words, pa.binary()), *map(_lists, lists)], names=names)
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes by route.  Suffixes of one document with one route share their words, sent once."""
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=_SUFFIX)
-
-    for table in (whole.slice(at, _SLICE).to_pydict() for whole in batches for at in range(0, whole.num_rows, _SLICE)):
-        out: list[tuple] = []
-        size = 0
-        for dk, ids, base, words, hits in zip(*(table[c] for c in ("dk", "ids", "base", "words", "hits"))):
-            hits.sort(key=lambda h: (h["route"], h["p"]))
-            for route, same in itertools.groupby(hits, key=lambda h: h["route"]):
-                p, e, lh, before = zip(*((h["p"], h["e"], h["lh"], h["before"]) for h in same))
-                own = words[4 * (p[0] - base) : 4 * (max(e) - base)]
-                out.append((route, dk, ids, p[0], own, p, e, lh, before))
-                size += len(own) + 8 * len(ids) + 24 * len(p)
-                if size > 1 << 20:
-                    yield made(out)
-                    out, size = [], 0
-        if out:
-            yield made(out)
+    for batch in batches:
+        dk, ids, base, words, hits = (K.column(batch, c) for c in ("dk", "ids", "base", "words", "hits"))
+        if not batch.num_rows:
+            continue
+        flat = hits.flatten()
+        p, e, lh, before, route = (flat.field(c).to_numpy() for c in ("p", "e", "lh", "before", "route"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(hits.offsets.to_numpy()))
+        order = np.lexsort((p, route, row))
+        p, e, lh, before, route, row = (x[order] for x in (p, e, lh, before, route, row))
+        start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | np.concatenate([[True], route[1:] != route[:-1]]))
+        stop = np.append(start[1:], len(row))
+        reach = np.maximum.reduceat(e, start)
+        base = base.to_numpy()
+        lo = 0
+        while lo < len(start):
+            out, size, hi = [], 0, lo
+            while hi < len(start) and size < 1 << 21:
+                r, a = row[start[hi]], int(p[start[hi]])
+                own = words[int(r)].as_buffer()[8 * (a - int(base[r])) : 8 * (int(reach[hi]) - int(base[r]))]
+                out.append(own.to_pybytes())
+                size += len(own) + 32 * (stop[hi] - start[hi])
+                hi += 1
+            part = slice(start[lo], stop[hi - 1])
+            cuts = pa.array((np.append(start[lo:hi], stop[hi - 1]) - start[lo]).astype(np.int32))
+            take = pa.array(row[start[lo:hi]])
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x[part])) for x in (p, e, lh, before)]
+            yield pa.RecordBatch.from_arrays([pa.array(route[start[lo:hi]]), dk.take(take), ids.take(take), pa.array(p[start[lo:hi]]), pa.array(out, pa.binary()), *lists], names=_SUFFIX)
+            lo = hi
 
 
 _SUFFIX = ["route", "dk", "ids", "base", "words", "p", "e", "lh", "before"]
 
 
-class _Found:
-    """Repeats as flat columns, so that a place costs bytes and not objects."""
-
-    def __init__(self) -> None:
-        self.lengths: list[int] = []
-        self.docs: list[int] = []
-        self.all: list[np.ndarray] = []
-        self.ids: list[np.ndarray] = []
-        self.places: list[np.ndarray] = []
-        self.texts: list[int] = []
-        self.keys: list[int] = []
-        self.size = 0
-
-    def bucket(self, rows: list[tuple]) -> None:
-        """Add the maximal repeats of the suffixes of one bucket; rows: dk, ids, p, before, words."""
-        rows = sorted({(r[0], r[2]): r for r in rows}.values(), key=lambda r: (r[4], r[0], r[2]))
-        found = list(tree([r[4] for r in rows], [r[3] for r in rows], [r[0] for r in rows], [len(r[1]) for r in rows]))
-        if not found:
+class Scan:
+    """The suffix array of some routes, whole ones, with what stands behind each suffix."""
+
+    def __init__(self, table: pa.Table):
+        col = {c: table[c].combine_chunks() for c in _SUFFIX}
+        raw = col["words"]
+        offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        words = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+        begin = (offsets[:-1] - offsets[0]) // 8
+        row = np.repeat(np.arange(len(raw)), np.diff(col["p"].offsets.to_numpy()))
+        p, e, lh, before = (col[c].flatten().to_numpy() for c in ("p", "e", "lh", "before"))
+        # texts in the order in which they keep what they share: by least id, then by hash
+        dk, at, text = np.unique(col["dk"].to_numpy(), return_index=True, return_inverse=True)
+        lists = col["ids"].take(pa.array(at))
+        self.ids = lists.flatten().fill_null(_NULL).to_numpy()
+        self.first_id = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+        by = np.lexsort((dk, self.ids[self.first_id[:-1]]))
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.dk, self.text_ids = dk[by], by
+        text = place[text][row]
+        _, once = np.unique(np.stack([text, p]), axis=1, return_index=True)  # rows that repeat in full
+        text, p, e, lh, before, row = (x[once] for x in (text, p, e, lh, before, row))
+        first = begin[row] + p - col["base"].to_numpy()[row]
+        order, lcp = suffix_array(words, first, first + e - p, lh)
+        self.text, self.p, self.lcp, self.size = text[order], p[order], lcp, (e - p)[order]
+        self.left = before[order]
+        self.words, self.first = words, first[order]
+        found = list(tree(lcp.tolist(), self.left.tolist()))
+        found = np.array(found, np.int64).reshape(-1, 3)
+        # a text with copies is a repeat by itself where no other suffix shares all of it
+        several = np.diff(self.first_id)[self.text_ids] > 1
+        above = np.maximum(lcp, np.concatenate([[-1], lcp[:-1]]))
+        alone = np.flatnonzero(several[self.text] & (self.p == 0) & (self.size > above))
+        self.found = np.concatenate([found, np.stack([self.size[alone], alone, alone], axis=1)])
+
+    def copies(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin, and how many there are."""
+        t = self.text_ids[text]
+        return self.first_id[t], self.first_id[t + 1] - self.first_id[t]
+
+    def repeats(self) -> Iterator[pa.RecordBatch]:
+        """All places of all repeats, about _FLUSH at a time."""
+        size = self.found[:, 2] - self.found[:, 1] + 1
+        at = 0
+        while at < len(size):
+            stop = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), _FLUSH, "right")))
+            yield from self._places(self.found[at:stop])
+            at = stop
+
+    def _places(self, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        length, lo, hi = found.T
+        number = np.repeat(np.arange(len(lo)), hi - lo + 1)
+        i = np.arange(len(number)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1) - lo, hi - lo + 1)
+        text, place = self.text[i], self.p[i].astype(np.int64)
+        order = np.lexsort((place, text, number))
+        number, text, place = number[order], text[order], place[order]
+        n = len(number)
+        new = np.ones(n, bool)  # the first place of a text in a repeat
+        new[1:] = (number[1:] != number[:-1]) | (text[1:] != text[:-1])
+        step = np.diff(place, prepend=0)
+        step[new] = -1
+        # places at equal distances are one progression
+        step[:-1] = np.where(new[:-1] & ~new[1:], step[1:], step[:-1])
+        head = new.copy()
+        head[1:] |= step[1:] != step[:-1]
+        head = np.flatnonzero(head)
+        times = np.diff(np.append(head, n))
+        number, text, place, step = number[head], text[head], place[head], np.where(times > 1, step[head], 0)
+        first, count = self.copies(text)
+        one = new[head]
+        docs = np.bincount(number[one], count[one], len(lo)).astype(np.int32)
+        places = np.bincount(number, count * times, len(lo)).astype(np.int64)
+        run, down = prefixes(self.words)
+        begin = self.first[lo]
+        name = K.mix((run[begin + length] - run[begin]) * down[begin] + length.astype(np.uint64))
+        reach = np.cumsum(count)
+        at = 0
+        while at < len(count):  # copies multiply the rows
+            stop = at + max(1, int(np.searchsorted(reach[at:] - (reach[at - 1] if at else 0), 4 * _FLUSH, "right")))
+            c = count[at:stop]
+            k = np.repeat(np.arange(at, stop), c)
+            ids = self.ids[np.arange(len(k)) - np.repeat(np.cumsum(c) - c - first[at:stop], c)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, mask=ids == _NULL),
+                    pa.array(name[number[k]].view(np.int64)),
+                    pa.array(length[number[k]].astype(np.int32)),
+                    pa.array(docs[number[k]]),
+                    pa.array(places[number[k]]),
+                    pa.array(place[k].astype(np.int32)),
+                    pa.array(step[k].astype(np.int32)),
+                    pa.array(times[k].astype(np.int32)),
+                ],
+                names=["doc_id", "repeat_id", "n_words", "n_docs", "n_places", "first_word", "step", "times"],
+            )
+            at = stop
+
+    def cuts(self) -> Iterator[pa.RecordBatch]:
+        """What to cut for the first place to keep each repeat: merged runs of words by text.
+
+        Of two runs from one word the longer counts: for a text's least document that of the longest repeat of which the place
+        isn't the first, for its copies that of the longest repeat."""
+        n = len(self.p)
+        rest, whole = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        order = np.argsort(self.found[:, 2] - self.found[:, 1], kind="stable")  # inner intervals before those around them
+        rank = np.empty(n, np.int64)
+        rank[np.lexsort((self.p, self.text))] = np.arange(n)
+        open_: dict[int, list[int]] = {}  # suffixes without a longer run, by the first slot of the interval that has them
+        nothing: list[int] = []
+        skip = np.arange(n + 1)  # next slot not inside an interval that is done
+        for length, lo, hi in self.found[order].tolist():
+            own, i = [], lo
+            while i <= hi:
+                if skip[i] > i:
+                    own += open_.pop(i, nothing)
+                    i = int(skip[i])
+                else:
+                    own.append(i)
+                    whole[i] = length
+                    i += 1
+            skip[lo] = hi + 1
+            keeper = min(own, key=rank.__getitem__)
+            for i in own:
+                if i != keeper:
+                    rest[i] = length
+            open_[lo] = [keeper]
+        _, count = self.copies(self.text)
+        live, twice = np.flatnonzero(rest), np.flatnonzero((whole > 0) & (count > 1))
+        i = np.concatenate([live, twice])
+        kept = np.arange(len(i)) >= len(live)
+        if not len(i):
             return
-        texts = sorted({r[0]: r[1] for r in rows}.items(), key=lambda x: ([(i is not None, i or 0) for i in x[1][:1]], x[0]))
-        number = {dk: i for i, (dk, _) in enumerate(texts)}
-        own = [np.array([_NULL if i is None else i for i in ids], np.int64) for _, ids in texts]
-        text, place = np.array([number[r[0]] for r in rows]), np.array([r[2] for r in rows], np.int32)
-        for length, lo, hi in found:
-            order = np.lexsort((place[lo : hi + 1], text[lo : hi + 1])) + lo
-            t = text[order]
-            cut = np.flatnonzero(np.diff(t, prepend=-1))
-            ids, keys = [own[i] for i in t[cut]], [texts[i][0] for i in t[cut]]
-            self.add(length, ids, keys, np.cumsum(np.diff(t, prepend=t[0]) > 0), place[order])
-
-    def add(self, length: int, ids: list[np.ndarray], keys: list[int], number: np.ndarray, place: np.ndarray) -> None:
-        """A repeat at ``place`` of the texts ``keys[number]``, whose documents are ``ids``."""
-        self.lengths.append(length)
-        self.docs.append(sum(map(len, ids)))
-        self.all.append(np.unique(np.concatenate(ids)))
-        self.ids.extend(ids)
-        self.places.extend(np.split(place, np.flatnonzero(np.diff(number)) + 1))
-        self.keys.extend(keys)
-        self.texts.append(len(keys))
-        self.size += len(place) + self.docs[-1]
-
-    def group(self, rows: list[list]) -> None:
-        """Buckets of one route; rows: dk, ids, base, words and the lists p, e, lh, before."""
-        buckets: dict[int, list[tuple]] = {}
-        for dk, ids, base, words, *lists in rows:
-            for p, e, lh, before in zip(*lists):
-                buckets.setdefault(lh, []).append((dk, ids, p, before, words, p - base, e - base))
-        for lh in sorted(buckets):
-            self.bucket([(dk, ids, p, before, words[4 * a : 4 * b]) for dk, ids, p, before, words, a, b in buckets[lh]])
-
-    @staticmethod
-    def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-        flat = np.concatenate(parts)
-        size = np.cumsum([0] + [len(x) for x in parts]).astype(np.int32)
-        return pa.ListArray.from_arrays(size, pa.array(flat, mask=flat == _NULL) if flat.dtype == np.int64 else pa.array(flat))
-
-    def batch(self) -> pa.RecordBatch:
-        place = pa.StructArray.from_arrays([pa.array(self.keys, pa.int64()), self._lists(self.ids), self._lists(self.places)], names=["dk", "doc_ids", "first_words"])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(self.lengths, pa.int32()),
-                pa.array(self.docs, pa.int32()),
-                self._lists(self.all),
-                pa.ListArray.from_arrays(np.cumsum([0, *self.texts]).astype(np.int32), place),
-            ],
-            names=["n_words", "n_docs", "doc_ids", "occurrences"],
-        )
-
-
-_NULL = np.iinfo(np.int64).min  # stands for a null id; sorts first
-_REPEAT = "n_words int, n_docs int, doc_ids array<long>, occurrences array<struct<dk: long, doc_ids: array<long>, first_words: array<int>>>"
-
-
-class _Cuts(_Found):
-    """What to cut for the first text to keep each repeat: merged runs of words by text."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.runs: list[np.ndarray] = []
-        self.least: dict[int, int | None] = {}
-
-    def add(self, length: int, ids: list[np.ndarray], keys: list[int], number: np.ndarray, place: np.ndarray) -> None:
-        kept = number == 0
-        if len(ids[0]) < 2:  # without copies nothing of the first text goes
-            number, place, kept = number[~kept], place[~kept], kept[~kept]
-        dk = np.array(keys, np.int64)[number]
-        self.runs.append(np.stack([dk, kept, place, place + np.int64(length)]))
-        self.size += len(dk)
-        self.least.update((k, None if i[0] == _NULL else int(i[0])) for k, i in zip(keys, ids))
-
-    def batch(self) -> pa.RecordBatch:
-        dk, kept, first, end = np.concatenate(self.runs, axis=1)
-        order = np.lexsort((first, kept, dk))
-        dk, kept, first, end = dk[order], kept[order], first[order], end[order]
-        new = np.ones(len(dk), bool)
-        new[1:] = (dk[1:] != dk[:-1]) | (kept[1:] != kept[:-1])
+        text, first = self.text[i], self.p[i].astype(np.int64)
+        end = first + np.where(kept, whole[i], rest[i])
+        by = np.lexsort((first, kept, text))
+        text, kept, first, end = text[by], kept[by], first[by], end[by]
+        new = np.ones(len(i), bool)
+        new[1:] = (text[1:] != text[:-1]) | (kept[1:] != kept[:-1])
         part = np.cumsum(new)
         reach = np.maximum.accumulate(end + part * (1 << 32)) - part * (1 << 32)  # greatest end so far in its part
         new[1:] |= first[1:] > reach[:-1]
         at = np.flatnonzero(new)
-        stop = np.append(at[1:], len(dk)) - 1
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(dk[at]),
-                pa.array([self.least[k] for k in dk[at].tolist()], pa.int64()),
-                pa.array(kept[at] > 0),
-                pa.array(first[at].astype(np.int32)),
-                pa.array(reach[stop].astype(np.int32)),
-            ],
+        stop = np.append(at[1:], len(i)) - 1
+        least = self.ids[self.copies(text[at])[0]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(self.dk[text[at]]), pa.array(least, mask=least == _NULL), pa.array(kept[at]), pa.array(first[at].astype(np.int32)), pa.array(reach[stop].astype(np.int32))],
             names=["dk", "least", "kept", "first", "end"],
         )
 
 
-def _scanner(kind: type[_Found]):
+_REPEAT = "doc_id long, repeat_id long, n_words int, n_docs int, n_places long, first_word int, step int, times int"
+_CUT = "dk long, least long, kept boolean, first int, end int"
+_SCAN_BYTES = 1 << 22
+
+
+def _scanner(kind: str):
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The results of complete routes, some at a time."""
+        table = pa.Table.from_batches(parts).combine_chunks()
+        route = table["route"].to_numpy()
+        new = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(table["words"]).to_numpy().astype(np.int64) + 32 * pc.list_value_length(table["p"]).to_numpy())])
+        at, ends = 0, np.append(new[1:], len(route))
+        while at < len(route):
+            stop = int(ends[min(np.searchsorted(size[ends], size[at] + _SCAN_BYTES), len(ends) - 1)])
+            yield from getattr(Scan(table.slice(at, stop - at)), kind)()
+            at = stop
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, found = None, [], kind()
-        for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
-                for route, *row in zip(*(K.column(batch, c).to_pylist() for c in _SUFFIX)):
-                    if route != key:
-                        if rows:
-                            found.group(rows)
-                        key, rows = route, []
-                        if found.size > _FLUSH:
-                            yield found.batch()
-                            found = kind()
-                    rows.append(row)
-        if rows:
-            found.group(rows)
-        if found.size:
-            yield found.batch()
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            route = K.column(batch, "route").to_numpy()
+            cut = len(route) - int(np.argmax((route != route[-1])[::-1])) if route[0] != route[-1] else 0
+            if cut or (held and key != route[0]):
+                if cut:
+                    held.append(batch.slice(0, cut))
+                yield from whole(held)
+                held = []
+            held.append(batch.slice(cut))
+            key = route[-1]
+        if held:
+            yield from whole(held)
 
     return scan
 
 
-def repeats(docs: DataFrame, kind: type[_Found] = _Found, schema: str = _REPEAT) -> DataFrame:
-    """One row per maximal repeat: ``n_words``, ``n_docs``, ``doc_ids`` and ``occurrences``: for each
-    distinct text, by its least id, the hash of the text, the ids and the first words of the places."""
+def repeats(docs: DataFrame, kind: str = "repeats", schema: str = _REPEAT) -> DataFrame:
+    """What the method ``kind`` of Scan gives for the routes of all documents."""
     keyed = _keyed(docs)
     texts = (
         keyed.filter("text is not null")
         .groupBy("th")
-        .agg(F.collect_set("doc_id").alias("ids"), F.max(F.col("doc_id").isNull()).alias("no_id"))
-        .select("th", F.when(F.col("no_id"), F.concat(F.array(F.lit(None).cast("long")), F.sort_array("ids"))).otherwise(F.sort_array("ids")).alias("ids"))
+        .agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.max(F.col("doc_id").isNull()).alias("no_id"))
+        .select("th", F.when(F.col("no_id"), F.concat("ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("ids")).alias("ids"))
         .withColumn("dk", F.xxhash64(F.col("ids")[0], "th"))
     )
     everywhere = Window.partitionBy("fp")
-    r = F.pmod(F.xxhash64(F.lit(7), "dk"), F.lit(1 << 24))
+    low, high = F.col("place").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("place", 32)
     places = (
         keyed.select("dk", "text")
-        .mapInArrow(_anchor_rows, "dk long, at int, fp long")
-        .withColumn("r", r)
-        .select("dk", "at", F.count("*").over(everywhere).alias("n"), F.min("dk").over(everywhere).alias("lo"), F.max("dk").over(everywhere).alias("hi"), F.sum("r").over(everywhere).alias("s2"), F.sum(F.col("r") * F.col("at")).over(everywhere).alias("s3"))
-        .filter("lo != hi")
+        .mapInArrow(_anchor_rows, "dk long, at int, fp long, place long")
+        .select("dk", "at", F.count("*").over(everywhere).alias("n"), F.sum(low).over(everywhere).alias("lo"), F.sum(high).over(everywhere).alias("hi"))
+        .filter("n > 1")
         .groupBy("dk")
-        .agg(F.collect_list(F.struct("at", "n", "s2", "s3")).alias("hits"))
+        .agg(F.collect_list(F.struct("at", "n", "lo", "hi")).alias("hits"))
         .join(texts, "dk")
         .select("dk", "ids", "hits")
     )
     candidates = materialise(
-        keyed.select(F.col("th"), "dk", "text").join(places, "dk").select(F.col("th").alias("dk"), "ids", "text", "hits").mapInArrow(
+        keyed.select("th", "dk", "text").join(places, "dk").select(F.col("th").alias("dk"), "ids", "text", "hits").mapInArrow(
             _candidate_rows, "dk long, ids array<long>, base int, words binary, p array<int>, e array<int>, lh array<long>, before array<long>, route array<long>"
         ),
         "candidates",
     )
     bucket = Window.partitionBy("lh")
     # the documents' starts count as differing from every word
-    differ = (F.min("before").over(bucket) != F.max("before").over(bucket)) | (F.min("before").over(bucket) < 0)
-    several = (F.min("dk").over(bucket) != F.max("dk").over(bucket)) | (F.max("copies").over(bucket) > 1)
+    differ = (F.min("before").over(bucket) != F.max("before").over(bucket)) | F.bool_or(F.col("before") == 0).over(bucket)
+    several = (F.count("*").over(bucket) > 1) | (F.max("copies").over(bucket) > 1)
     starts = (
         candidates.select("dk", F.size("ids").alias("copies"), F.inline(F.arrays_zip("p", "e", "lh", "before", "route")))
         .withColumn("good", differ & several)
@@ -412,49 +515,58 @@ def repeats(docs: DataFrame, kind: type[_Found] = _Found, schema: str = _REPEAT)
 
 
 def maximal_repeats(docs: DataFrame) -> DataFrame:
-    places = F.transform("occurrences", lambda o: F.struct(o["doc_ids"].alias("doc_ids"), o["first_words"].alias("first_words")))
-    return repeats(docs).withColumn("occurrences", places)
+    """Every maximal repeat in each document that has it: ``doc_id``, ``repeat_id`` (a hash of its words), ``n_words``, ``n_docs`` and
+    ``n_places`` of it everywhere, and its places in the document: ``first_word``, and ``times`` - 1 more at every ``step`` words.
+
+    A document has a row for each run of places at equal distances; mostly each place is a row of its own, with step 0."""
+    return repeats(docs)
 
 
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the words [first, end) of each span and all between them."""
-    raw, off = K.raw_bytes(pa.array([text], pa.large_string()))
-    s, e, _ = K.bounds(raw, off)
+def without_spans(texts: pa.Array, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """``texts`` without the words first[i] .. end[i] - 1 of text row[i] and all between them."""
+    raw, off = K.raw_bytes(texts)
+    s, e, docs = K.bounds(raw, off)
     gone = np.zeros(len(raw) + 1, np.int32)
-    for a, b in spans:
-        gone[s[a]] += 1
-        gone[e[b - 1]] -= 1
-    return raw[np.cumsum(gone)[:-1] == 0].tobytes().decode("utf-8")
+    np.add.at(gone, s[docs[row] + first], 1)
+    np.subtract.at(gone, e[docs[row] + end - 1], 1)
+    keep = np.cumsum(gone)[:-1] == 0
+    left = np.concatenate([[0], np.cumsum(keep)])[off].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(left), pa.py_buffer(raw[keep]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with every repeat cut from all documents but the first that has it (by id, nulls last).
+    """``docs`` with every repeat cut from all its places but the first (by id, nulls last, then place in the text).
 
-    All columns are kept and ``n_chars``, where it is there, follows the text; documents of which no word
-    is left are dropped, others come back as they were."""
+    A word goes if any place that is not the first covers it, so of a run with a period one period stays.  All columns
+    are kept and ``n_chars``, where it is there, follows the text; documents of which no word is left are dropped, others come back as
+    they were.  Copies of one text keep what the text has first only under the least id."""
     run = F.struct("first", "end")
     cuts = (
-        repeats(docs, _Cuts, "dk long, least long, kept boolean, first int, end int")
+        repeats(docs, "cuts", _CUT)
         .groupBy("dk")
         .agg(F.collect_list(F.when(~F.col("kept"), run)).alias("every"), F.collect_list(run).alias("copies"), F.first("least").alias("least"))
     )
-    k, d, c = fresh(docs, "cut_dk", "own_dk", "cut_spans")
-    # the document with the least id keeps what it has first; its copies and all others lose it
-    cuts = cuts.select(F.col("dk").alias(k), "every", "copies", "least")
-    names = fresh(docs, "cut_every", "cut_copies", "cut_least")
-    cuts = cuts.select(k, *(F.col(x).alias(y) for x, y in zip(("every", "copies", "least"), names)))
-
-    @F.pandas_udf("string")
-    def trimmed(text, spans):
-        import pandas as pd
-
-        return pd.Series([without_spans(t, [(x["first"], x["end"]) for x in s]) for t, s in zip(text, spans)], dtype=object)
+    k, d, c, *names = fresh(docs, "cut_dk", "own_dk", "cut_spans", "cut_every", "cut_copies", "cut_least")
+    cuts = cuts.select(F.col("dk").alias(k), *(F.col(x).alias(y) for x, y in zip(("every", "copies", "least"), names)))
+
+    @F.arrow_udf("string")
+    def trimmed(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.large_string())]
+        for lo, hi in K.chunks(text):
+            own = spans.slice(lo, hi - lo)
+            flat = own.flatten()
+            row = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(own), 0).to_numpy())
+            out.append(without_spans(text.slice(lo, hi - lo), row, flat.field("first").to_numpy(), flat.field("end").to_numpy()))
+        return pa.concat_arrays(out).cast(pa.string())
 
     joined = docs.withColumn(d, F.xxhash64("text")).join(cuts, F.col(d) == F.col(k), "left")
+    # the least id cuts what it doesn't keep; its copies lose what it keeps too
     joined = joined.withColumn(c, F.when(F.col("doc_id").cast("long").eqNullSafe(F.col(names[2])), F.col(names[0])).otherwise(F.col(names[1])))
     joined = joined.withColumn(c, F.when(F.size(c) > 0, F.col(c)))
-    whole = joined.filter(F.col(c).isNull()).select(*docs.columns)
-    less = joined.filter(F.col(c).isNotNull()).withColumn("text", trimmed("text", c)).filter(F.col("text").rlike(r"[0-9a-zA-Z\u0080-\x{10FFFF}]"))
+    less = F.col(c).isNotNull()
+    joined = joined.withColumn(k, trimmed(F.when(less, F.col("text")), F.col(c)))
+    joined = joined.filter(~less | F.col(k).rlike(r"[0-9a-zA-Z\u0080-\x{10FFFF}]"))
+    new = {"text": F.col(k)}
     if "n_chars" in docs.columns:
-        less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(less.select(*docs.columns))
+        new["n_chars"] = F.length(k).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(F.when(less, new[x]).otherwise(F.col(x)).alias(x) if x in new else F.col(x) for x in docs.columns))

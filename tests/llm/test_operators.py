@@ -77,13 +77,13 @@ def test_near_duplicates_equal_brute_force(corpus):
 
 
 def brute_repeats(docs, least):
-    """Maximal repeats over two documents or more: words -> occurrences."""
+    """Maximal repeats at two places or more: words -> places."""
     out = {}
     seen = {}
     for d, w in docs.items():
         for i in range(len(w) - least + 1):
             seen.setdefault(tuple(w[i : i + least]), []).append((d, i))
-    todo = [(k, v) for k, v in seen.items() if len({d for d, _ in v}) > 1]
+    todo = [(k, v) for k, v in seen.items() if len(v) > 1]
     while todo:
         words, places = todo.pop()
         after = {}
@@ -91,37 +91,79 @@ def brute_repeats(docs, least):
             nxt = docs[d][i + len(words)] if i + len(words) < len(docs[d]) else (d, "end")
             after.setdefault(nxt, []).append((d, i))
         for nxt, own in after.items():
-            if isinstance(nxt, str) and len({d for d, _ in own}) > 1:
+            if isinstance(nxt, str) and len(own) > 1:
                 todo.append((words + (nxt,), own))
         before = {docs[d][i - 1] if i else (d, "start") for d, i in places}
         if len(after) > 1 and len(before) > 1:
-            out[words] = sorted(places)
+            out[words] = sorted(places, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+def repeat_rows(spark):
     rng = random.Random(5)
-    a, b, c = prose(rng, 70), prose(rng, 90), prose(rng, 55)
-    rows = [(1, f"{prose(rng, 9)} {a} {prose(rng, 9)}"), (2, f"{a} {b}"), (3, f"{b} {c}"), (4, f"x {b} y {c}"), (5, f"{a} {b}"), (6, " ".join(["p q r"] * 40)), (7, "z " + " ".join(["p q r"] * 30)), (8, None), (9, c)]
-    want = brute_repeats({i: split(t) for i, t in rows if t}, suffixes.MIN_WORDS)
-    got = suffixes.maximal_repeats(frame(spark, rows)).collect()
+    a, b, c, d = prose(rng, 70), prose(rng, 90), prose(rng, 55), prose(rng, 64)
+    return [
+        (1, f"{prose(rng, 9)} {a} {prose(rng, 9)}"), (2, f"{a} {b}"), (3, f"{b} {c}"), (4, f"x {b} y {c}"), (5, f"{a} {b}"), (6, " ".join(["p q r"] * 40)),
+        (7, "z " + " ".join(["p q r"] * 30)), (8, None), (9, c), (10, f"{d} {prose(rng, 7)} {d} {prose(rng, 30)} {d[:-3]}"), (11, f"{d} u {a} v {d}"), (12, f"{a} {b}"), (13, ""),
+    ]
+
+
+def test_repeats_equal_brute_force(spark):
+    rows = repeat_rows(spark)
     docs = {i: split(t) for i, t in rows if t}
-    found = {}
-    for r in got:
-        places = sorted((d, p) for o in r["occurrences"] for d in o["doc_ids"] for p in o["first_words"])
-        d, p = places[0]
-        found[tuple(docs[d][p : p + r["n_words"]])] = places
-    assert found == want
+    want = brute_repeats(docs, suffixes.MIN_WORDS)
+    frame_ = frame(spark, rows)
+    for extra in (frame_, frame_.union(frame_.filter("doc_id in (2, 10)"))):  # rows that repeat in full are one document
+        found, size = {}, {}
+        for r in suffixes.maximal_repeats(extra).collect():
+            found.setdefault(r["repeat_id"], []).extend((r["doc_id"], r["first_word"] + r["step"] * k) for k in range(r["times"]))
+            size[r["repeat_id"]] = r["n_words"], r["n_docs"], r["n_places"]
+        got = {}
+        for k, places in found.items():
+            d, p = min(places)
+            assert size[k][1:] == (len({d for d, _ in places}), len(places))
+            got[tuple(docs[d][p : p + size[k][0]])] = sorted(places)
+        assert got == want
+    assert suffixes.maximal_repeats(frame_.limit(0)).count() == 0
+
+
+def test_suffix_array_equals_sorting():
+    rng = random.Random(15)
+    words = np.array([rng.randrange(1, 3) for _ in range(400)], np.uint64)
+    words[:50] = words[100:150] = words[200:250] = words[300:350] = 1
+    first = np.array([0, 100, 200, 300] * 30) + 0
+    end = np.array([rng.randrange(f + 50, min(400, f + 100)) for f in first.tolist()])
+    order, lcp = suffixes.suffix_array(words, first, end, np.array([7, 7, 7, 9] * 30))
+    key = lambda i: ([7, 7, 7, 9][i % 4], words[first[i] : end[i]].tolist())
+    assert [key(i) for i in order] == sorted(key(i) for i in range(120))
+    for j, (a, b) in enumerate(zip(order[:-1], order[1:])):
+        x, y = key(a), key(b)
+        same = next((n for n, (u, v) in enumerate(zip(x[1], y[1])) if u != v), min(len(x[1]), len(y[1])))
+        assert lcp[j] == (same if x[0] == y[0] else -1)
+
+
+def test_remove_repeats_equals_brute_force(spark):
+    rows = [(None if i == 1 else i, t) for i, t in repeat_rows(spark)]
+    rank = {i: (i is None, i or 0) for i, _ in rows}
+    docs = {i: split(t) for i, t in rows if t}
+    gone = {i: set() for i in docs}
+    for words, places in brute_repeats(docs, suffixes.MIN_WORDS).items():
+        for d, p in sorted(places, key=lambda x: (rank[x[0]], x[1]))[1:]:
+            gone[d].update(range(p, p + len(words)))
+    want = {i: [w for k, w in enumerate(words) if k not in gone[i]] for i, words in docs.items()}
+    got = {r["doc_id"]: r["text"] for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert {i: split(t) for i, t in got.items() if t} == {i: w for i, w in want.items() if w} and got[8] is None and got[13] == ""
 
 
 def test_remove_repeats_keeps_the_first(spark):
     rng = random.Random(6)
     p = prose(rng, 60, 900)
     left, right = prose(rng, 30, 900), prose(rng, 30, 900)
-    docs = frame(spark, [(2, f"{left} {p}."), (1, f"{p} {right}"), (3, p), (4, None), (5, "")])
+    docs = frame(spark, [(2, f"{left} {p}."), (1, f"{p} {right}"), (3, p), (4, None), (5, ""), (None, f"{p} {right}"), (6, " ".join(["é b c"] * 30))])
     got = {r["doc_id"]: r for r in suffixes.remove_repeats(docs).collect()}
-    assert set(got) == {1, 2, 4, 5}
+    assert set(got) == {1, 2, 4, 5, 6}
     assert got[1]["text"] == f"{p} {right}" and split(got[2]["text"]) == split(left) and got[2]["n_chars"] == len(got[2]["text"])
+    assert split(got[6]["text"]) == ["é", "b", "c"]
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
