@@ -19,12 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+# the default codec holds a page twice in buffers outside of the heap, and pages of long texts are large
+_WRITE = {"compression": "zstd", "parquet.block.size": 1 << 25, "parquet.page.size.row.check.min": 10}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there, so a lost
     executor costs only its running tasks.  The files go when the session's file system closes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**_WRITE).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -16,7 +16,7 @@ least among 25 neighbours, chosen by content alone.  Only anchors that stand at
 between two neighbouring anchors that stand at the same shifted places (seen from their counts and a
 fingerprint of the places that shifts with them), no repeat can begin, as the word before would be the same everywhere.
 
-Documents with the very same text go through as one, with the list of their ids.
+Documents with the very same text go through as one, with the list of their ids; the result lists them once.
 
 Defined results: null, empty or shorter texts hold no repeat; rows that repeat in full are one
 document; a null id counts as one document and comes after all others; places may overlap, and a text with a
@@ -332,7 +332,7 @@ class Scan:
         i = np.arange(len(number)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1) - lo, hi - lo + 1)
         text, place = self.text[i], self.p[i].astype(np.int64)
         order = np.lexsort((place, text, number))
-        number, text, place = number[order], text[order], place[order]
+        number, text, place, i = number[order], text[order], place[order], i[order]
         n = len(number)
         new = np.ones(n, bool)  # the first place of a text in a repeat
         new[1:] = (number[1:] != number[:-1]) | (text[1:] != text[:-1])
@@ -344,11 +344,12 @@ class Scan:
         head[1:] |= step[1:] != step[:-1]
         head = np.flatnonzero(head)
         times = np.diff(np.append(head, n))
-        number, text, place, step = number[head], text[head], place[head], np.where(times > 1, step[head], 0)
+        number, text, place, step, i = number[head], text[head], place[head], np.where(times > 1, step[head], 0), i[head]
         first, count = self.copies(text)
         one = new[head]
         docs = np.bincount(number[one], count[one], len(lo)).astype(np.int32)
         places = np.bincount(number, count * times, len(lo)).astype(np.int64)
+        copies, count = count, np.where((place == 0) & (length[number] == self.size[i]), count, 1)
         run, down = prefixes(self.words)
         begin = self.first[lo]
         name = K.mix((run[begin + length] - run[begin]) * down[begin] + length.astype(np.uint64))
@@ -369,8 +370,9 @@ class Scan:
                     pa.array(place[k].astype(np.int32)),
                     pa.array(step[k].astype(np.int32)),
                     pa.array(times[k].astype(np.int32)),
+                    pa.array(copies[k].astype(np.int32)),
                 ],
-                names=["doc_id", "repeat_id", "n_words", "n_docs", "n_places", "first_word", "step", "times"],
+                names=["doc_id", "repeat_id", "n_words", "n_docs", "n_places", "first_word", "step", "times", "n_copies"],
             )
             at = stop
 
@@ -427,7 +429,7 @@ class Scan:
         )
 
 
-_REPEAT = "doc_id long, repeat_id long, n_words int, n_docs int, n_places long, first_word int, step int, times int"
+_REPEAT = "doc_id long, repeat_id long, n_words int, n_docs int, n_places long, first_word int, step int, times int, n_copies int"
 _CUT = "dk long, least long, kept boolean, first int, end int"
 _SCAN_BYTES = 1 << 22
 
@@ -518,7 +520,9 @@ def maximal_repeats(docs: DataFrame) -> DataFrame:
     """Every maximal repeat in each document that has it: ``doc_id``, ``repeat_id`` (a hash of its words), ``n_words``, ``n_docs`` and
     ``n_places`` of it everywhere, and its places in the document: ``first_word``, and ``times`` - 1 more at every ``step`` words.
 
-    A document has a row for each run of places at equal distances; mostly each place is a row of its own, with step 0."""
+    A document has a row for each run of places at equal distances; mostly each place is a row of its own, with step 0.
+    ``n_copies`` documents have the very same text: the one with the least id has all rows, as the others have the same places,
+    and these have one row each, under the repeat that is their whole text.  So copies add to the rows and don't multiply them."""
     return repeats(docs)
 
 

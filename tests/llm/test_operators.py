@@ -113,11 +113,19 @@ def test_repeats_equal_brute_force(spark):
     docs = {i: split(t) for i, t in rows if t}
     want = brute_repeats(docs, suffixes.MIN_WORDS)
     frame_ = frame(spark, rows)
+    listed = set()
     for extra in (frame_, frame_.union(frame_.filter("doc_id in (2, 10)"))):  # rows that repeat in full are one document
         found, size = {}, {}
+        same = {i: [j for j in docs if docs[j] == docs[i]] for i in docs}
         for r in suffixes.maximal_repeats(extra).collect():
-            found.setdefault(r["repeat_id"], []).extend((r["doc_id"], r["first_word"] + r["step"] * k) for k in range(r["times"]))
             size[r["repeat_id"]] = r["n_words"], r["n_docs"], r["n_places"]
+            assert r["n_copies"] == len(same[r["doc_id"]])
+            if r["doc_id"] == min(same[r["doc_id"]]):
+                found.setdefault(r["repeat_id"], []).extend((d, r["first_word"] + r["step"] * k) for k in range(r["times"]) for d in same[r["doc_id"]])
+            else:
+                assert r["first_word"] == 0 and r["n_words"] == len(docs[r["doc_id"]])
+                listed.add(r["doc_id"])
+        assert listed == {5, 12}
         got = {}
         for k, places in found.items():
             d, p = min(places)
