@@ -7,8 +7,8 @@ the log-count ratio r of each feature is taken; features seen in fewer than ``mi
 with \\|r\\| below ``min_ratio`` get weight 0.  Logistic regression over the indicator times r is fitted in
 numpy, and the cut is the score with the best F1 on a fifth of the sample held out from the fit.
 
-Defined results: null, empty and very short texts score with the intercept and are never toxic; labels
-that are null, or that name no document, are left out; repeated rows score alike; where the labels
+Defined results: null, empty and very short texts, which have no n-gram, have toxicity 0 and are never toxic; labels
+that are null, or that name no document, are left out; of copies of one labelled id those with the smallest hash of the text count; repeated rows score alike; where the labels
 hold fewer than two classes nothing is toxic and every score is 0; whole texts are scored whatever their length.
 """
 
@@ -74,9 +74,11 @@ def _distinct(docs: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
-    out = np.full(len(texts), model.bias)
+    """Of every text; -inf without any n-gram."""
+    out = np.full(len(texts), -np.inf)
     for lo, hi in K.chunks(texts):
         doc, bucket, _ = features(texts.slice(lo, hi - lo))
+        out[lo + np.unique(doc)] = model.bias
         hit = model.weights[bucket] != 0
         doc, bucket = _distinct(doc[hit], bucket[hit])
         out[lo:hi] += np.bincount(doc, model.weights[bucket], hi - lo)
@@ -155,13 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         .limit(max_train)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(max_train)  # repeated ids do not lift the bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
         order = np.lexsort((table["th"].to_numpy(), K.mix(table["doc_id"].to_numpy().astype(np.uint64))))
-        order = order[:max_train]  # repeated ids do not lift the bound
         texts = table["text"].cast(pa.large_string()).combine_chunks().take(pa.array(order))
         model = fit(texts, table["toxic"].to_numpy()[order] > 0)
         at = np.flatnonzero(model.weights)
@@ -183,7 +185,7 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
         model = shared.value
         for batch in batches:
             z = scores(model, K.column(batch, "text")) - model.cut
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if np.isfinite(model.cut) else np.zeros(len(z))
+            p = np.where(np.isneginf(z), 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays([K.column(batch, "doc_id"), pa.array(p), pa.array(z > 0)], names=["doc_id", "toxicity", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
@@ -193,11 +195,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
     """The rows of ``docs`` that are not toxic, all columns kept; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))
 
-    @F.pandas_udf("boolean")
-    def toxic(text):
-        import pandas as pd
-
-        return pd.Series(scores(shared.value, pa.array(text, pa.large_string())) > shared.value.cut)
+    @F.arrow_udf("boolean")
+    def toxic(text: pa.Array) -> pa.Array:
+        return pa.array(scores(shared.value, text) > shared.value.cut)
 
     (flag,) = fresh(docs, "rejected")
     return docs.withColumn(flag, toxic("text")).filter(~F.col(flag)).drop(flag)
