@@ -35,7 +35,6 @@ from .common import materialise, shared_dir
 from .reputation import parts
 
 MAX_BYTES, RANGE_ROWS = 16 << 20, 4096
-MAX_RANGES = 16384
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-record")
 
@@ -90,6 +89,17 @@ def read(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["Content-Length"])]
 
 
+def move(system: fs.FileSystem, temporary: str, final: str) -> None:
+    """Rename; over a file that an earlier attempt left, which has the same bytes, where the file system refuses that."""
+    try:
+        system.move(temporary, final)
+    except OSError:
+        if system.get_file_info(final).type != fs.FileType.File:
+            raise
+        system.delete_file(final)
+        system.move(temporary, final)
+
+
 class Writer:
     """Files of one range, rolled by compressed size."""
 
@@ -120,7 +130,7 @@ class Writer:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temporary, f"{self.base}/{self.name}")
+            move(self.fs, self.temporary, f"{self.base}/{self.name}")
             self.out, self.number = None, self.number + 1
 
 
@@ -131,7 +141,7 @@ def write(pages: DataFrame, folder: str, max_bytes: int = MAX_BYTES, range_rows:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.concat(host, F.lit(" "), url).alias("key"))
     count = rows.count()
-    ranges = min(MAX_RANGES, max(1, -(-count // range_rows)))
+    ranges = max(1, -(-count // range_rows))
     if ranges > 1:
         threshold = -(1 << 63) + int((1 << 64) * ranges / count)
         bounds = sorted((r[0] for r in rows.select("key").filter(F.xxhash64("key") < F.lit(threshold)).distinct().collect()), key=lambda k: k.encode())
@@ -145,7 +155,7 @@ def write(pages: DataFrame, folder: str, max_bytes: int = MAX_BYTES, range_rows:
 
         return pd.Series(np.searchsorted(shared.value, np.array([k.encode() for k in key], dtype=object), "right").astype(np.int32))
 
-    ordered = rows.withColumn("range", range_of("key")).repartition(max(1, len(bounds) + 1), "range").sortWithinPartitions("range", "key", "page_id", F.xxhash64("html"))
+    ordered = rows.withColumn("range", range_of("key")).repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "key", "page_id", F.xxhash64("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -176,7 +186,7 @@ def write(pages: DataFrame, folder: str, max_bytes: int = MAX_BYTES, range_rows:
     listed = [{"file": f["file"], "records": f["records"], "bytes": f["bytes"]} for f in files.toLocalIterator()]
     with target.open_output_stream(f"{base}/_manifest.json.tmp") as out:
         out.write(json.dumps({"records": count, "files": listed}, indent=1).encode())
-    target.move(f"{base}/_manifest.json.tmp", f"{base}/manifest.json")
+    move(target, f"{base}/_manifest.json.tmp", f"{base}/manifest.json")
     if target.get_file_info(f"{base}/_temporary").type == fs.FileType.Directory:
         target.delete_dir(f"{base}/_temporary")
     return index
