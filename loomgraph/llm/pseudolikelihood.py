@@ -33,6 +33,7 @@ SIZE = TOP + HASHED
 INSIDE = SIZE // CLASSES
 REACH = (-2, -1, 1, 2)
 ROUNDS, BATCH, STEP = 2, 2048, 0.25
+LIMIT = 80.0
 BLOCK = 1 << 14  # windows scored at once
 SLICE = 1 << 14
 SHAPES = ((len(REACH), SIZE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, INSIDE), (CLASSES, INSIDE))
@@ -86,49 +87,60 @@ def contexts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-normaliser and probabilities of each row."""
-    top = x.max(axis=1)
-    e = np.exp(x - top[:, None])
-    s = e.sum(axis=1)
-    return top + np.log(s), e / s[:, None]
+def _by_class(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts words by class, and where each class begins in it."""
+    cls = (words % CLASSES).astype(np.uint8)
+    return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """e**z in place.  Sums of at most HIDDEN weights and a bias stay far from LIMIT, which only keeps them finite."""
+    return np.exp(np.clip(z, -LIMIT, LIMIT, out=z), out=z)
+
+
+class Forward:
+    """The hidden layer and the scores of classes and words of up to n windows sorted by class; keeps its buffers."""
+
+    def __init__(self, n: int):
+        self.h, self.t = np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
+        self.z, self.q = np.empty((n, CLASSES), np.float32), np.empty((n, INSIDE), np.float32)
+        self.ones = np.ones(CLASSES, np.float32), np.ones(INSIDE, np.float32)
+
+    def run(self, weights: list[np.ndarray], near: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        emb, b, wc, bc, ww, bw = weights
+        n = near.shape[1]
+        h, t, z, q = self.h[:n], self.t[:n], self.z[:n], self.q[:n]
+        np.take(emb[0], near[0], axis=0, out=h, mode="clip")
+        for j in range(1, len(REACH)):
+            np.take(emb[j], near[j], axis=0, out=t, mode="clip")
+            h += t
+        h += b
+        np.tanh(h, out=h)
+        np.matmul(h, wc, out=z)
+        z += bc
+        for c in range(CLASSES):
+            lo, hi = cut[c], cut[c + 1]
+            if lo < hi:
+                np.matmul(h[lo:hi], ww[c], out=q[lo:hi])
+        q += np.repeat(bw, np.diff(cut), axis=0)
+        return h, z, q
 
 
 def log_probabilities(weights: list[np.ndarray], around: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Of each word given the words around it."""
-    emb, b, wc, bc, ww, bw = weights
     out = np.empty(len(words), np.float32)
+    forward = Forward(min(BLOCK, len(words)))
     for at in range(0, len(words), BLOCK):
-        near, word = around[:, at : at + BLOCK], words[at : at + BLOCK]
+        word = words[at : at + BLOCK]
         order, cut = _by_class(word)
-        near, word = near[:, order], word[order]
-        h = emb[0][near[0]] + b
-        for j in range(1, len(REACH)):
-            h += emb[j][near[j]]
-        np.tanh(h, out=h)
+        word = word[order]
+        _, z, q = forward.run(weights, around[:, at : at + BLOCK][:, order], cut.tolist())
         row = np.arange(len(word))
-        z = h @ wc + bc
-        lp = z[row, word % CLASSES] - _log_sum(z)
-        for c in range(CLASSES):
-            own = slice(cut[c], cut[c + 1])
-            np.matmul(h[own], ww[c], out=z[own])
-            z[own] += bw[c]
-        lp += z[row, word // CLASSES] - _log_sum(z)
-        out[at + order] = lp
+        lp = z[row, word % CLASSES] + q[row, word // CLASSES]
+        out[at + order] = lp - np.log(_exp(z) @ forward.ones[0]) - np.log(_exp(q) @ forward.ones[1])
     return out
 
 
-def _by_class(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts words by class, and where each class begins in it."""
-    cls = (words % CLASSES).astype(np.uint8)
-    return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
-
-
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-
-
 class Trainer:
     """Adagrad on minibatches; gradients of embeddings touch only the rows in use."""
 
@@ -136,45 +148,55 @@ class Trainer:
         self.flat = flat.copy()
         self.w = unflat(self.flat)
         self.seen = [np.full(s[:2] if i == 0 else s, 1e-3, np.float32) for i, s in enumerate(SHAPES)]
+        self.forward = Forward(BATCH)
 
     def _step(self, i: int, g: np.ndarray) -> None:
         self.seen[i] += g * g
-        self.w[i] -= STEP * 0.2 * g / np.sqrt(self.seen[i])
-
-    def train(self, around: np.ndarray, words: np.ndarray) -> None:
-        emb, b, wc, bc, ww, bw = self.w
+        g *= STEP * 0.2
+        g /= np.sqrt(self.seen[i])
+        self.w[i] -= g
+
+    def gradients(self, around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean negative log-probability: by the hidden layer's input of each window, and by all weights but embeddings.
+        The windows are sorted by class; ``around`` comes back in that order."""
+        _, _, wc, _, ww, _ = self.w
         n = len(words)
         order, cut = _by_class(words)
         around, words = around[:, order], words[order]
-        x = b + sum(emb[j][around[j]] for j in range(len(REACH)))
-        h = np.tanh(x)
+        bounds = cut.tolist()
+        h, p, q = self.forward.run(self.w, around, bounds)
         row = np.arange(n)
-        _, p = _softmax(h @ wc + bc)
-        p[row, words % CLASSES] -= 1
-        p /= n
-        gh = p @ wc.T
-        g_wc, g_bc = h.T @ p, p.sum(axis=0)
-        g_ww, g_bw = np.zeros_like(ww), np.zeros_like(bw)
-        z = np.empty((n, INSIDE), np.float32)
+        for x, ones, target in ((p, self.forward.ones[0], words % CLASSES), (q, self.forward.ones[1], words // CLASSES)):
+            _exp(x)
+            x /= ((x @ ones) * np.float32(n))[:, None]
+            x[row, target] -= np.float32(1 / n)
+        gh, more = p @ wc.T, self.forward.t[:n]
+        g_ww = np.zeros_like(ww)
         for c in range(CLASSES):
-            own = slice(cut[c], cut[c + 1])
-            np.matmul(h[own], ww[c], out=z[own])
-            z[own] += bw[c]
-        _, q = _softmax(z)
-        q[row, words // CLASSES] -= 1
-        q /= n
-        for c in range(CLASSES):
-            own = slice(cut[c], cut[c + 1])
-            gh[own] += q[own] @ ww[c].T
-            np.matmul(h[own].T, q[own], out=g_ww[c])
-            g_bw[c] = q[own].sum(axis=0)
-        gx = gh * (1 - h * h)
+            lo, hi = bounds[c], bounds[c + 1]
+            if lo < hi:
+                np.matmul(q[lo:hi], ww[c].T, out=more[lo:hi])
+                np.matmul(h[lo:hi].T, q[lo:hi], out=g_ww[c])
+        g_bw = np.zeros((CLASSES, INSIDE), np.float32)
+        live = np.flatnonzero(np.diff(cut))
+        g_bw[live] = np.add.reduceat(q, cut[live], axis=0)
+        gh += more
+        gh *= 1 - h * h
+        return around, gh, h.T @ p, p.sum(axis=0), g_ww, g_bw
+
+    def train(self, around: np.ndarray, words: np.ndarray) -> None:
+        emb = self.w[0]
+        around, gx, g_wc, g_bc, g_ww, g_bw = self.gradients(around, words)
         for j in range(len(REACH)):
-            rows, number = np.unique(around[j], return_inverse=True)
-            g = np.bincount((number[:, None] * HIDDEN + np.arange(HIDDEN)).ravel(), gx.ravel(), len(rows) * HIDDEN).reshape(-1, HIDDEN).astype(np.float32)
+            order = np.argsort(around[j], kind="stable")
+            own = around[j][order]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            rows = own[first]
+            g = np.add.reduceat(np.take(gx, order, axis=0), first, axis=0)
             g[rows == SIZE] = 0
-            self.seen[0][j, rows] += (g * g).mean(axis=1)
-            emb[j][rows] -= STEP * g / np.sqrt(self.seen[0][j, rows])[:, None]
+            self.seen[0][j, rows] += np.einsum("ij,ij->i", g, g) / HIDDEN
+            g *= (STEP / np.sqrt(self.seen[0][j, rows]))[:, None]
+            emb[j][rows] -= g
         self._step(1, gx.sum(axis=0))
         for i, g in ((2, g_wc), (3, g_bc), (4, g_ww), (5, g_bw)):
             self._step(i, g)
