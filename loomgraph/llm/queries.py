@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, minhash, nearest, packing, pseudolikelihood, reputation, suffixes, templates, toxicity, warc
 
@@ -42,7 +43,9 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.render_conversations(_table(spark, sf_dir, "conversations")).drop("spans")
+    """``spans`` as text, start:end of each, so that it compares with SQL."""
+    out = templates.render_conversations(_table(spark, sf_dir, "conversations"))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), " "))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +68,13 @@ ORACLES: dict[str, str] = {
     "op2_url_reputation": reputation.ORACLE,
     "op7_nearest": nearest.ORACLE,
     "op8_chat": """
+WITH pieces AS (SELECT conv_id, turn, role, text, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' AS body FROM conversations),
+placed AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS first FROM pieces)
 SELECT conv_id, count(*)::INTEGER AS n_turns,
-       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered,
+       coalesce(string_agg(first::BIGINT || ':' || (first + length(body))::BIGINT, ' ' ORDER BY first) FILTER (WHERE role = 'assistant'), '') AS spans,
+       NULL::VARCHAR AS error,
        (count(*) FILTER (WHERE role = 'assistant'))::INTEGER AS n_generated,
-       coalesce(sum(length(coalesce(text, '')) + 10) FILTER (WHERE role = 'assistant'), 0)::INTEGER AS generated_chars
-FROM conversations GROUP BY conv_id""",
+       coalesce(sum(length(body)) FILTER (WHERE role = 'assistant'), 0)::INTEGER AS generated_chars
+FROM placed GROUP BY conv_id""",
 }

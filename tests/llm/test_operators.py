@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, minhash, nearest, packing, pseudolikelihood, reputation, suffixes, templates, toxicity, warc
 from loomgraph.llm import textkernel as K
@@ -350,6 +351,42 @@ def test_templates(spark):
     assert got[2]["n_generated"] == 0 and None in got
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("{{ messages[1:][0].role }}{{ messages[:-1]|length }}{{ 'abc'[::-1] }}", "a1cba"),
+        ("{{ x is defined }}{{ messages is defined }}{{ messages[0].content is none }}{{ messages[0].role is string }}{{ x is not defined }}", "falsetruefalsetruetrue"),
+        ("{{ {'a': [1, true]}|tojson }}{{ '}}' }}{{ \" hi \".strip() }}", '{"a": [1, true]}}}hi'),
+        ("{% set ns = namespace(n=0) %}{% for m in messages %}{% set ns.n = ns.n + 1 %}{% endfor %}{{ ns.n }}", "2"),
+        ("{% for m in messages if m.role == 'a' %}{{ loop.length }}{{ m.content }}{% endfor %}", "1yo"),
+        ("{% for m in messages %}{% set x = (x or '') ~ m.role %}{{ x }}{% endfor %}{{ x }}", "ua"),
+        ("{% macro f(a, b='!') %}<{{ a }}{{ b }}>{% endmacro %}{{ f('x') }}{{ f('y', b='?') }}", "<x!><y?>"),
+        ("{% for i in range(5) %}{% if i == 1 %}{% continue %}{% endif %}{% if i == 3 %}{% break %}{% endif %}{{ i }}{% endfor %}", "02"),
+        ("{{ (messages|selectattr('role', 'equalto', 'u')|list)[0].content }}{{ 'a,b'.split(',')|join('-') }}{{ 7 / 2 }}", "hia-b3.5"),
+        ("{% for k, v in {'p': 1, 'q': 2}.items() %}{{ k }}{{ v }}{% endfor %}", "p1q2"),
+    ],
+)
+def test_template_language(source, want):
+    env = {"messages": [{"role": "u", "content": "hi"}, {"role": "a", "content": "yo"}]}
+    assert templates.compile_template(source)(env)[0] == want
+
+
+def test_template_errors_are_rows(spark):
+    rows = [(1, None, "u", "a"), (2, 3, "u", "b"), (2, 3, "u", "b"), (3, 0, "x", "c " * 200_000), (4, 5, "stop", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rendered", F.lit("clash"))
+    source = "{% for m in messages %}{% if m.role == 'stop' %}{{ raise_exception('no ' ~ m.role) }}{% endif %}{% if m.turn < 9 %}{{ m.content }}{% endif %}{% endfor %}"
+    got = {r["conv_id"]: r for r in templates.render_conversations(turns, source).collect()}
+    assert got[1]["rendered"] is None and "compared" in got[1]["error"] and got[4]["error"] == "no stop"
+    assert got[2]["rendered"] == "bb" and got[3]["rendered"] == "c " * 200_000 and got[3]["error"] is None
+    assert templates.render_conversations(turns.limit(0)).count() == 0
+    for bad in ("{{ f( }}", "{% for x y in z %}{% endfor %}", "{{ a is odd }}", "{% macro 3() %}{% endmacro %}"):
+        with pytest.raises(templates.TemplateError):
+            templates.compile_template(bad)
+    for odd in ("{{ x.__class__() }}", "{{ 'a'.format(1) }}", "{% break %}", "{% macro f() %}{{ f() }}{% endmacro %}{{ f() }}"):
+        with pytest.raises(templates.TemplateError):
+            templates.compile_template(odd)({"x": "s"})
+
+
 def test_reputation_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.b.co.uk/x"), (2, None), (3, "junk"), (4, "https://u@H.example.com:80/"), (5, "http://10.0.0.1/")], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (2, None)], "doc_id long, quality int")
