@@ -27,7 +27,8 @@ from . import textkernel as K
 from .common import materialise
 
 NEIGHBOURS, DIMS_AT_ONCE = 10, 16
-QUERY_ROWS, DATA_ROWS, TILE = 8192, 8192, 256
+DATA_ROWS, TILE, PAIRS, PIVOTS = 8192, 128, 1 << 14, 64
+_LAST = np.iinfo(np.int64).max  # stands for a null id
 _SLACK = 1e-4  # single precision sums are off by far less than this share of the masses
 
 
@@ -43,49 +44,60 @@ class Block:
         self.square = [(self.columns[s : s + step] ** 2).sum(axis=0) for s in range(0, vectors.shape[1], step)]
 
 
-def search(q: Block, x: Block, best: list, k: int) -> int:
-    """Improve ``best`` (k smallest (distance, id, row) of each query of q) with block x; gives the count of
-    candidates that reached the last dimensions."""
-    n, dims = len(q.rows), q.columns.shape[0]
-    reached = 0
+class Best:
+    """The k smallest (distance, id, row) of each of n queries; infinite where there are fewer."""
+
+    def __init__(self, n: int, k: int):
+        self.d = np.full((n, k), np.inf)
+        self.id, self.row = np.full((n, k), _LAST), np.full((n, k), _LAST)
+
+    def add(self, lo: int, hi: int, q: np.ndarray, d: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Merge pairs of the queries lo + q with those that are there."""
+        k = self.d.shape[1]
+        q = np.concatenate([np.repeat(np.arange(hi - lo), k), q])
+        d, ids, rows = (np.concatenate([x[lo:hi].ravel(), y]) for x, y in ((self.d, d), (self.id, ids), (self.row, rows)))
+        order = np.lexsort((rows, ids, d, q))
+        q = q[order]
+        first = np.searchsorted(q, np.arange(hi - lo))
+        top = order[(first[:, None] + np.arange(k)).ravel()]
+        for mine, x in ((self.d, d), (self.id, ids), (self.row, rows)):
+            mine[lo:hi] = x[top].reshape(-1, k)
+
+
+def search(q: Block, x: Block, best: Best) -> int:
+    """Improve ``best`` with block x; gives the count of pairs that were measured in full.
+
+    A tile of queries goes through the dimensions together: a candidate stays while any query of the tile may need it."""
+    n, k, reached = len(q.rows), best.d.shape[1], 0
     for lo in range(0, n, TILE):
         hi = min(n, lo + TILE)
-        first = slice(0, q.step)
-        part = q.square[0][lo:hi, None] + x.square[0][None, :] - 2 * (q.columns[first, lo:hi].T @ x.columns[first])
-        qm, xm = q.mass[1][lo:hi, None], x.mass[1][None, :]
-        slack = _SLACK * (q.mass[0][lo:hi, None] ** 2 + x.mass[0][None, :] ** 2)
-        low = part + (qm - xm) ** 2 - slack
-        high = part + (qm + xm) ** 2 + slack
-        kth = min(k, high.shape[1] - 1)  # the row itself may be among the candidates
-        cut = np.partition(high, kth, axis=1)[:, kth]
-        for i in range(lo, hi):
-            own = best[i]
-            bound = min(cut[i - lo], own[-1][0] * (1 + 1e-9) + 1e-30) if len(own) == k else (cut[i - lo] if high.shape[1] > k else np.inf)
-            keep = np.flatnonzero(low[i - lo] <= bound)
-            acc = part[i - lo, keep]
-            for step in range(1, len(q.square)):
-                if len(keep) <= 4 * k:
-                    break
-                dim = slice(step * q.step, (step + 1) * q.step)
-                acc = acc + ((x.columns[dim][:, keep] - q.columns[dim, i][:, None]) ** 2).sum(axis=0)
-                a, b = q.mass[step + 1][i], x.mass[step + 1][keep]
-                off = _SLACK * (q.mass[0][i] ** 2 + x.mass[0][keep] ** 2)
-                if len(keep) > k:
-                    bound = min(bound, np.partition(acc + (a + b) ** 2 + off, k)[k])
-                stay = acc + (a - b) ** 2 - off <= bound
-                keep, acc = keep[stay], acc[stay]
-            keep = keep[x.rows[keep] != q.rows[i]]
-            reached += len(keep)
-            d = ((x.exact[keep] - q.exact[i]) ** 2).sum(axis=1)
-            own = own + [(float(v), int(x.ids[j]), int(x.rows[j])) for v, j in zip(d, keep)]
-            own.sort()
-            best[i] = own[:k]
+        bound = best.d[lo:hi, -1] * (1 + 1e-9)
+        live, acc = np.arange(len(x.rows)), np.float32(0)
+        columns, off = x.columns, _SLACK * (q.mass[0][lo:hi, None] ** 2 + x.mass[0][None, :] ** 2)
+        for step in range(len(q.square)):
+            dim = slice(step * q.step, (step + 1) * q.step)
+            acc = acc + q.square[step][lo:hi, None] + x.square[step][live][None, :] - 2 * (q.columns[dim, lo:hi].T @ columns[dim])
+            a, b = q.mass[step + 1][lo:hi, None], x.mass[step + 1][live][None, :]
+            if len(live) > k and (step == 0 or np.isinf(bound).any()):
+                # the row itself may be among the candidates
+                bound = np.minimum(bound, np.partition(acc + (a + b) ** 2 + off, k, axis=1)[:, k])
+            near = acc + (a - b) ** 2 - off <= np.nextafter(bound.astype(np.float32), np.float32(np.inf))[:, None]
+            keep = near.any(axis=0)
+            if step + 1 < len(q.square) and keep.mean() < 0.7:
+                live, acc, off, columns = live[keep], acc[:, keep], off[:, keep], columns[:, keep]
+        i, j = np.nonzero(near)
+        j = live[j]
+        other = x.rows[j] != q.rows[lo + i]
+        i, j = i[other], j[other]
+        reached += len(i)
+        d = np.empty(len(i))
+        for at in range(0, len(i), PAIRS):
+            own = slice(at, at + PAIRS)
+            d[own] = ((x.exact[j[own]] - q.exact[lo + i[own]]) ** 2).sum(axis=1)
+        best.add(lo, hi, i, d, x.ids[j], x.rows[j])
     return reached
 
 
-_LAST = np.iinfo(np.int64).max
-
-
 def neighbours(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """``vec_id``, ``rank`` from 1, ``neighbour_id`` and Euclidean ``distance`` of the k nearest of every row."""
     spark = embeddings.sparkSession
@@ -96,7 +108,9 @@ def neighbours(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     rows = rows.join(F.broadcast(usual), F.size("v") == F.col("d"))
     # ids of rows are fixed by writing them, so that a repeated task sees the same ones
     stored = materialise(rows.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
-    count = stored.count()
+    count, most = stored.agg(F.count("*"), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    # a power of two keeps all squares finite and changes no digit
+    scale = 2.0 ** -np.frexp(most)[1] if most else 1.0
     blocks = max(1, -(-count // DATA_ROWS))
     data = stored.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     packed = materialise(data.groupBy("block").agg(F.collect_list(F.struct("vec_id", "row", F.col("v").cast("array<double>").alias("v"))).alias("rows")), "blocks")
@@ -107,33 +121,32 @@ def neighbours(embeddings: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     def block(rows: pa.Array) -> Block:
         flat = rows.flatten()
         v = flat.field("v")
-        values = v.flatten().to_numpy().reshape(len(v), -1)
+        values = v.flatten().to_numpy().reshape(len(v), -1) * scale
         ids = flat.field("vec_id").fill_null(_LAST).to_numpy()
-        return Block(values, ids, flat.field("row").to_numpy())
+        pivots = values[np.argsort(flat.field("row").to_numpy(), kind="stable")[:PIVOTS]]
+        order = np.argsort(((pivots**2).sum(axis=1) - 2 * values @ pivots.T).argmin(axis=1), kind="stable")  # like vectors share a tile
+        return Block(values[order], ids[order], flat.field("row").to_numpy()[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, best = None, None, []
+        q, best = None, None
 
         def result() -> pa.RecordBatch:
-            ids, ranks, others, dist = [], [], [], []
-            for i, found in enumerate(best):
-                for r, (d, other, _) in enumerate(found):
-                    ids.append(None if q.ids[i] == _LAST else int(q.ids[i]))
-                    ranks.append(r + 1)
-                    others.append(None if other == _LAST else other)
-                    dist.append(d**0.5)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranks, pa.int32()), pa.array(others, pa.int64()), pa.array(dist, pa.float64())], names=["vec_id", "rank", "neighbour_id", "distance"])
+            i, r = np.nonzero(np.isfinite(best.d))
+            own, other = q.ids[i], best.id[i, r]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(own, mask=own == _LAST), pa.array((r + 1).astype(np.int32)), pa.array(other, mask=other == _LAST), pa.array(np.sqrt(best.d[i, r]) / scale)], names=["vec_id", "rank", "neighbour_id", "distance"]
+            )
 
         for batch in batches:
             for i in range(batch.num_rows):
-                at, rows = K.column(batch, "own")[i].as_py(), K.column(batch, "rows").slice(i, 1)
+                rows = K.column(batch, "rows").slice(i, 1)
                 if K.column(batch, "other")[i].as_py() < 0:
                     if q is not None:
                         yield result()
-                    own, q = at, block(rows)
-                    best = [[] for _ in q.rows]
+                    q = block(rows)
+                    best = Best(len(q.rows), k)
                 else:
-                    search(q, block(rows), best, k)
+                    search(q, block(rows), best)
         if q is not None:
             yield result()
 

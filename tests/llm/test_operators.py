@@ -238,6 +238,22 @@ def test_packing(spark):
     assert text == dict(rows)[92]
 
 
+def test_packing_queries(spark):
+    turns = spark.createDataFrame([(1, 1, "assistant", "b c"), (1, 0, "user", "a"), (1, None, None, "first"), (None, 0, "assistant", None), (2, 0, "user", "x"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string").withColumn("bin_id", F.lit("clash"))
+    got = packing.pack_conversations(turns).collect()
+    text = {r["conv_id"]: (r["text"], r["n_tokens"], r["loss_tokens"]) for r in got}
+    assert text == {1: ("first\na\nb c\n", 4, 2), 2: ("x\nx\n", 2, 0), None: ("\n", 0, 0)}
+    assert packing.pack_conversations(turns.limit(0)).count() == 0
+    docs = frame(spark, [(1, "a b"), (1, "a b"), (2, None), (3, ""), (4, "é " * 5000), (None, "x")])
+    rows = packing.pack_documents(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["piece"], r["n_tokens"]) for r in rows) == [(0, 0, 1), (1, 0, 2), (1, 0, 2), (2, 0, 0), (3, 0, 0), (4, 0, 4096), (4, 1, 904)]
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+    again = packing.pack_documents(docs.orderBy(F.desc("doc_id")).coalesce(1)).collect()
+    assert again == packing.pack_documents(docs.orderBy("text").coalesce(1)).collect()
+    with pytest.raises(ValueError):
+        packing.pack(docs.selectExpr("doc_id", "array(struct(text, true AS loss)) AS parts"), "doc_id", (10, 4, 0))
+
+
 def test_packing_equals_plain_heuristic():
     rng = np.random.default_rng(4)
     demand = np.stack([rng.integers(1, 50, 60), np.ones(60, int), rng.integers(0, 20, 60)], axis=1)
@@ -269,6 +285,69 @@ def test_toxicity(spark):
     assert toxicity.keep_clean(docs, labels.filter("toxic = 0")).count() == len(rows) + 3
 
 
+def test_toxicity_features_and_ratios_equal_dictionaries():
+    texts = ["Ab, cé!d", "", None, "zz top zz", "x", "grobnik grobnik"]
+    doc, bucket, _ = toxicity.features(pa.array(texts, pa.string()))
+    norm = lambda t: re.sub(r"[^0-9a-z\u0080-\U0010ffff]+", " ", (t or "").lower())
+    name = {}
+    for i, t in enumerate(texts):
+        grams = {norm(t)[j : j + n] for n in toxicity.SIZES for j in range(len(norm(t)) - n + 1)}
+        assert len(set(bucket[doc == i].tolist())) == len(grams)
+        for g in grams:
+            alone = set(toxicity.features(pa.array([t]))[1].tolist())
+            name.setdefault(g, set(alone)).intersection_update(alone)
+    rng = random.Random(2)
+    texts = [prose(rng, 20, 60) + (" grobnik" if i % 2 else "") for i in range(100)]
+    model = toxicity.fit(pa.array(texts), np.array([i % 2 for i in range(100)]))
+    use = [i for i in range(100) if i % 5 != 4]
+    sets = {i: set(toxicity.features(pa.array([texts[i]]))[1].tolist()) for i in use}
+    pos, neg = ([sets[i] for i in use if i % 2 == k] for k in (1, 0))
+    for b in set().union(*sets.values()):
+        p, n = sum(b in s for s in pos), sum(b in s for s in neg)
+        r = np.log((p + 0.5) / (len(pos) + 1)) - np.log((n + 0.5) / (len(neg) + 1))
+        assert (model.weights[b] != 0) == (p + n >= 4 and abs(r) >= 2.0)
+        assert model.weights[b] == 0 or np.sign(model.weights[b]) == np.sign(r)
+
+
+def test_toxicity_never_rejects_texts_without_ngrams(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30, 200) + (" grobnik zlumpf" if i % 10 else "")) for i in range(200)]
+    docs = frame(spark, rows + [(900, None), (901, ""), (902, "é"), (903, "grobnik " * 9000), (7, rows[7][1]), (7, rows[7][1])])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 > 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: (r["toxic"], r["toxicity"]) for r in toxicity.score(docs, labels).collect()}
+    assert got[900] == got[901] == got[902] == (False, 0.0) and got[903][0]
+    assert {900, 901, 902} <= {r["doc_id"] for r in toxicity.keep_clean(docs, labels).collect()}
+    assert toxicity.keep_clean(docs.limit(0), labels).count() == 0 and toxicity.score(docs, labels.limit(0)).filter("toxic").count() == 0
+
+
+def test_pseudo_likelihood_equals_plain_loops():
+    """Probabilities and gradients against loops over words and finite differences."""
+    P = pseudolikelihood
+    rng = np.random.default_rng(3)
+    flat = (P.start(rng.integers(0, 50, P.SIZE)) + rng.standard_normal(len(P.start(np.ones(P.SIZE)))) * 0.1).astype(np.float32)
+    words = rng.integers(0, P.SIZE, 30)
+    around = P.contexts(words.astype(np.int32), np.array([0, 12, 12, 30]))
+
+    def plain(flat, i):
+        emb, b, wc, bc, ww, bw = (x.astype(float) for x in P.unflat(flat))
+        h = np.tanh(b + sum(emb[j][around[j, i]] for j in range(4)))
+        zc, zw = h @ wc + bc, h @ ww[words[i] % P.CLASSES] + bw[words[i] % P.CLASSES]
+        return zc[words[i] % P.CLASSES] - np.log(np.exp(zc).sum()) + zw[words[i] // P.CLASSES] - np.log(np.exp(zw).sum())
+
+    got = P.log_probabilities(P.unflat(flat), around, words)
+    assert np.allclose(got, [plain(flat, i) for i in range(30)], atol=1e-4)
+    assert (around[:, 0] == [P.SIZE, P.SIZE, words[1], words[2]]).all() and (around[:, 12] == [P.SIZE, P.SIZE, words[13], words[14]]).all()
+    _, gx, g_wc, g_bc, g_ww, g_bw = P.Trainer(flat).gradients(around, words)
+    loss = lambda f: -np.mean([plain(f, i) for i in range(30)])
+    starts = np.cumsum([0] + [int(np.prod(x)) for x in P.SHAPES])
+    for k, g in ((1, gx.sum(axis=0)), (2, g_wc), (3, g_bc), (4, g_ww), (5, g_bw)):
+        for at in np.argsort(-np.abs(g.ravel()))[:3]:
+            up, down = flat.astype(float), flat.astype(float)
+            up[starts[k] + at] += 1e-4
+            down[starts[k] + at] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - g.ravel()[at]) < 1e-3
+
+
 def test_pseudo_likelihood_beats_frequencies(spark):
     rng = random.Random(4)
     texts = [" ".join(f"a{(s + j) % 40}" for j in range(60)) for s in (rng.randrange(40) for _ in range(300))]
@@ -321,6 +400,31 @@ def test_warc_round_trip_and_determinism(spark, tmp_path):
     assert sorted(found) == sorted((u or "", h or "") for _, u, h in rows)
 
 
+def test_warc_equals_plain_writer(spark, tmp_path):
+    """One file per range, written by a plain loop; a second attempt replaces files; long pages roll."""
+    rng = random.Random(7)
+    rows = [(i, f"http://{'ab'[i % 2]}.example.org/{rng.randrange(50)}", prose(rng, rng.choice([3, 2000]))) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("clash"))
+    folder = f"file://{tmp_path}/w"
+    index = {r["page_id"]: (r["file"], r["position"], r["length"]) for r in warc.write(pages, folder, max_bytes=3000).collect()}
+    key = lambda r: ((r[1].split("/")[2] + " " + r[1]).encode(), r[0])
+    n, data, want, files = 0, b"", {}, {}
+    for i, url, html in sorted(rows, key=key):
+        name = f"part-000000-{n:05d}.warc.gz"
+        data = data or warc.member(warc.info(name))
+        own = warc.member(warc.record(i, url, html)[0])
+        want[i], data = (name, len(data), len(own)), data + own
+        files[name] = data
+        if len(data) >= 3000:
+            n, data = n + 1, b""
+    assert index == want
+    made = {p.name: p.read_bytes() for p in (tmp_path / "w").iterdir() if p.name.endswith(".gz")}
+    assert made == files
+    warc.write(pages, folder, max_bytes=3000)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "w").iterdir() if p.name.endswith(".gz")} == files
+    assert warc.write(pages.limit(0), f"file://{tmp_path}/none").count() == 0 and (tmp_path / "none" / "manifest.json").exists()
+
+
 def test_nearest_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 40))
@@ -336,6 +440,37 @@ def test_nearest_equals_brute_force(spark):
         assert [n for _, n in sorted(got[i])] == sorted(range(300), key=lambda j: (d[i, j], j))[:5]
 
 
+def test_nearest_edges(spark):
+    rng = np.random.default_rng(2)
+    big = [(rng.standard_normal(20) * 1e20).tolist() for _ in range(30)]
+    table = lambda rows: spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, distance string")
+    got = nearest.neighbours(table(list(enumerate(big)) + [(None, big[3])]), 3).collect()
+    assert len(got) == 31 * 3 and {(r["neighbour_id"], r["distance"]) for r in got if r["vec_id"] == 3 and r["rank"] == 1} == {(None, 0.0)}
+    x = np.array(big)
+    for i in (0, 7, 29):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        want = [j for j in np.argsort(d, kind="stable") if j != i][:3]
+        assert [r["neighbour_id"] for r in sorted((r for r in got if r["vec_id"] == i), key=lambda r: r["rank"]) if r["neighbour_id"] is not None][:2] == want[:2] or i == 3
+    few = nearest.neighbours(table([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (2, [3.0, 4.0])]), 5).collect()
+    assert sorted((r["vec_id"], r["rank"], r["neighbour_id"], r["distance"]) for r in few) == [(1, 1, 2, 5.0), (1, 2, 2, 5.0), (2, 1, 2, 0.0), (2, 1, 2, 0.0), (2, 2, 1, 5.0), (2, 2, 1, 5.0)]
+    assert nearest.neighbours(table([])).count() == 0 and nearest.neighbours(table([(1, [1.0])])).count() == 0
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((6, 48)) * 4
+    x = (centre[rng.integers(0, 6, 700)] + rng.standard_normal((700, 48))).astype(np.float32)
+    monkeypatch.setattr(nearest, "DATA_ROWS", 150)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10).collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbour_id"]))
+    d = ((x.astype(float)[:, None] - x.astype(float)[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    for i in range(700):
+        assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(700), d[i]))[:10].tolist()
+
+
 def test_templates(spark):
     render = templates.compile_template("{% set a = 'x' ~ (1 + 2) %}{{ a|upper }}{% for m in messages -%}  {{ loop.index }}{{ m.role }}{% if not loop.last %},{% endif %}{% generation %}{{ m['content'] }}{% endgeneration %}{% endfor %}{{ nothing.here }}")
     assert render({"messages": [{"role": "u", "content": "hi"}, {"role": "a", "content": None}]}) == ("X31u,hi2a", [(5, 7), (9, 9)])
