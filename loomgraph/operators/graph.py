@@ -5,23 +5,17 @@ is cut by a checkpoint in the shared folder where the session names one."""
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.lineage import cut_lineage
+
 USES = ("calls", "references", "imports")
 LINKS = ("extends", "implements")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
-    return df.checkpoint()
-
-
 def neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, incoming: bool, kinds: tuple[str, ...] = USES) -> DataFrame:
     """Callers (incoming) or callees of the seeds (a column ``id``): each neighbour once, with its first edge."""
     near, far = ("target", "source") if incoming else ("source", "target")

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import coverage, graph, resolve, search, sync
+from loomgraph.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from loomgraph.sources import projection as P
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "impact_depth2"
 PART, HUB, WORDS = "blue anvil", "part:7", ["the", "ing"]
-_CTE = f"WITH RECURSIVE nodes AS ({P.plain(P.NODES)}), edges AS ({P.plain(P.EDGES)})"
-
-
-def query(sql: str | None = None, with_graph: bool = True):
-    """Register a function of (spark, folder) under its name, with its SQL after the graph's CTEs."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = (f"{_CTE}{sql}" if sql.startswith(",") else f"{_CTE} {sql}") if with_graph else sql
-        return f
-
-    return add
 
 
 def _seeds(nodes: DataFrame, name: str = PART) -> DataFrame:
@@ -205,54 +189,12 @@ def search_bm25(spark, sf_dir):
     return search.bm25(docs, "doc_id", {"text": 1.0, "source": 5.0}, ["ableth", "idiot", "tionho"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    """SELECT id, name, score FROM (SELECT id, name, CASE WHEN lower(name) = 'anvil' THEN 1.0 WHEN starts_with(lower(name), 'anvil') THEN 0.9
-WHEN contains(lower(name), 'anvil') THEN 0.8 WHEN contains(lower(file_path), 'anvil') THEN 0.5 END::DOUBLE AS score FROM nodes) WHERE score IS NOT NULL"""
-)
-def search_like(spark, sf_dir):
-    return search.like(P.graph(spark, sf_dir)[0], "anvil")
-
-
-@query(
-    """, d AS (SELECT DISTINCT name, levenshtein(lower(name), 'blue anvl') AS d FROM nodes), m AS (SELECT * FROM d WHERE d <= 2)
-SELECT id, name, score FROM (SELECT id, name, 1.0::DOUBLE / (1 + d) AS score, row_number() OVER (PARTITION BY name ORDER BY id) AS r FROM nodes JOIN m USING (name)) WHERE r <= 5"""
-)
-def search_fuzzy(spark, sf_dir):
-    return search.fuzzy(P.graph(spark, sf_dir)[0], "blue anvl")
-
-
-@query(
-    f""", h AS (SELECT id, name, kind, CASE WHEN lower(name) = '{PART}' THEN 1.0 WHEN starts_with(lower(name), '{PART}') THEN 0.9 WHEN contains(lower(name), '{PART}') THEN 0.8 END AS s FROM nodes)
-SELECT id, name, kind, round(s + CASE kind WHEN 'function' THEN 10 WHEN 'class' THEN 8 WHEN 'interface' THEN 9 WHEN 'struct' THEN 6 ELSE 4 END
- + CASE WHEN lower(name) = '{PART}' THEN 80 ELSE 10 END, 6)::DOUBLE AS score FROM h WHERE s IS NOT NULL ORDER BY score DESC, id LIMIT 20"""
-)
-def search_rescore(spark, sf_dir):
-    nodes, _ = P.graph(spark, sf_dir)
-    return search.rescored(nodes, search.like(nodes, PART), PART, 20).withColumn("score", F.round("score", 6))
-
-
-@query()
-def search_pipeline(spark, sf_dir):
-    return search.search(P.graph(spark, sf_dir)[0], "anvil blue")
-
-
 @query("SELECT id, name FROM nodes WHERE contains(lower(name), 'anvil') AND NOT starts_with(lower(name), 'anvil') ORDER BY length(name), name, id LIMIT 50")
 def name_substring(spark, sf_dir):
     low = F.lower("name")
     return P.graph(spark, sf_dir)[0].filter(F.contains(low, F.lit("anvil")) & ~low.startswith("anvil")).select("id", "name").orderBy(F.length("name"), "name", "id").limit(50)
 
 
-@query(
-    """, d AS (SELECT lower(name) AS low, count(DISTINCT file_path) AS n FROM nodes GROUP BY 1)
-SELECT id, name, file_path, CASE WHEN n < 10 THEN 20 ELSE 0 END AS bonus FROM nodes JOIN d ON d.low = lower(name) WHERE kind = 'interface'"""
-)
-def exact_name_colocation(spark, sf_dir):
-    nodes, _ = P.graph(spark, sf_dir)
-    spread = nodes.groupBy(F.lower("name").alias("low")).agg(F.countDistinct("file_path").alias("n"))
-    hit = nodes.filter("kind = 'interface'").withColumn("low", F.lower("name")).join(spread, "low")
-    return hit.select("id", "name", "file_path", F.when(F.col("n") < 10, 20).otherwise(0).alias("bonus"))
-
-
 _REFS = "refs AS (SELECT 'order:' || cast(l_orderkey AS string) || ':' || cast(l_linenumber AS string) AS ref_id, p_name AS name, 'catalog/' || p_brand || '.src' AS file_path FROM lineitem JOIN part ON p_partkey = l_partkey)"
 _BEST = f""", {_REFS}, named AS (SELECT DISTINCT name, file_path FROM refs),
 c AS (SELECT r.name, r.file_path, n.id AS target, n.file_path AS tf, n.start_line,
@@ -405,24 +347,6 @@ def node_ids_sha(spark, sf_dir):
     return P.graph(spark, sf_dir)[0].select("id", X.node_id(c("kind"), c("file_path"), c("name"), c("start_line")).alias("node_id"))
 
 
-@query(
-    "SELECT page_id, CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LANGUAGES.items())
-    + " ELSE 'unknown' END AS language FROM pages",
-    with_graph=False,
-)
-def language_detect(spark, sf_dir):
-    return P.table(spark, sf_dir, "pages").select("page_id", X.language_of(F.col("url")).alias("language"))
-
-
-@query(
-    f"""SELECT id, file_path, regexp_matches(lower(file_path), '{X.TEST_FILE}') AS is_test, regexp_matches(lower(file_path), '{X.GENERATED_FILE}') AS is_generated FROM nodes"""
-)
-def generated_last(spark, sf_dir):
-    p = F.col("file_path")
-    return P.graph(spark, sf_dir)[0].select("id", "file_path", X.is_test_file(p).alias("is_test"), X.is_generated_file(p).alias("is_generated")).orderBy("is_generated", "id")
-
-
 @query(
     """, k AS (SELECT file_path, start_line, end_line, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 8 THEN 0 ELSE 1 END AS new, id FROM nodes),
 g AS (SELECT *, sum(new) OVER (PARTITION BY file_path ORDER BY start_line, end_line, id ROWS UNBOUNDED PRECEDING) AS run FROM k)
@@ -459,3 +383,6 @@ def cascade_delete(spark, sf_dir):
     nodes, edges = P.graph(spark, sf_dir)
     gone = nodes.filter("file_path = 'catalog/Brand#11.src'")
     return edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target", "kind", "line")
+
+
+from loomgraph.plans import search_queries  # noqa: E402, F401  (registers more)

@@ -40,6 +40,29 @@ EDGES = "\nUNION ALL ".join(
 )
 
 
+PATHS = (
+    "src/core/#.go", "src/core/anvil_#.go", "src/anvil/#.py", "src/api/#_test.go", "test/#.py", "pkg/tests/#.js", "pkg/#.spec.ts", "lib/test_#.py", "app/AnvilTests/#.swift", "app/#Test.java",
+    "gen/#.pb.go", "vendor/x/#.go", "a/vendor/x/#.go", "a/generated/#.ts", "ui/#.generated.ts", "ui/icons/#.tsx", "examples/#.rb", "svc/mock_#.go", "mock_#.go", "svc/#_pb2.py", "svc/#_pb2_grpc.py",
+    "m/#.freezed.dart", "m/#Grpc.cs", "db/#.sql", "db/#.sqlite3", "go.mod", "web/package.json", "README#", "e2e/x/e2e/#.ts", "k/#Spec.kt", "h/#.hpp", "i18n/#.json", "svc/#_mocks.go", "deep/../up/./#.rs", "x/#_spec.rb",
+)
+_KINDS = "function method interface trait protocol route class component type_alias struct enum module namespace property field constant enum_member variable import export file parameter".split()
+_CASED = "(upper(substr({0}, 1, 1)) || substr({0}, 2))"
+_A, _B = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+
+
+def _pick(key: str, values: tuple[str, ...] | list[str]) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+# names in several cases, of all kinds, in files of all sorts
+SYMBOLS = f"""SELECT 'sym:' || cast(p_partkey AS string) AS id, kind, name, file_path, language, cast(p_partkey % 997 + 1 AS bigint) AS start_line, cast(p_partkey % 997 + 1 + p_partkey % 40 AS bigint) AS end_line,
+'lib::' || owner || '::' || name AS qualified_name, lower(p_type) || ' part of ' || p_name AS docstring, 'f(' || p_brand || ')' AS signature, p_partkey AS seq
+FROM (SELECT *, {_pick("p_partkey", [f"'{k}'" for k in _KINDS])} AS kind, {_CASED.format(_B)} AS owner,
+{_pick("p_partkey", [f"{_A} || '_' || {_B}", f"{_CASED.format(_A)} || {_CASED.format(_B)}", f"{_A} || {_CASED.format(_B)}", _B, f"'get' || {_CASED.format(_A)} || {_CASED.format(_B)} || 'Handler'", f"{_B} || '.' || {_A}", f"{_B} || cast(p_partkey % 7 AS string)"])} AS name,
+replace({_pick("p_partkey", [f"'{x}'" for x in PATHS])}, '#', lower(p_type) || cast(p_partkey % 90 AS string)) AS file_path, {_pick("p_partkey", ["'go'", "'python'", "'rust'"])} AS language
+FROM {{part}}) x"""
+
+
 def plain(sql: str) -> str:
     """The text for an engine that has the tables as views."""
     return sql.format(**{t: t for t in TABLES})
@@ -53,7 +76,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges."""
     tables = {t: table(spark, sf_dir, t) for t in TABLES}
 
-    def run(sql: str) -> DataFrame:
-        return spark.sql(sql, **{t: d for t, d in tables.items() if "{" + t + "}" in sql})
+    return run(spark, sf_dir, NODES, tables), run(spark, sf_dir, EDGES, tables)
+
+
+def run(spark: SparkSession, sf_dir: str, sql: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of a projection."""
+    used = [t for t in TABLES if "{" + t + "}" in sql]
+    return spark.sql(sql, **{t: tables[t] if tables else table(spark, sf_dir, t) for t in used})
+
 
-    return run(NODES), run(EDGES)
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, SYMBOLS)
