@@ -97,16 +97,6 @@ def endpoint_filter(spark, sf_dir):
     return graph.induced_edges(edges, nodes.filter("kind != 'struct'"))
 
 
-@query(
-    f""", back AS (SELECT DISTINCT target AS a, source AS b FROM edges WHERE kind <> 'contains'),
-r AS (SELECT id, 0 AS depth FROM nodes WHERE name = '{PART}' UNION SELECT back.b, r.depth + 1 FROM r JOIN back ON back.a = r.id WHERE r.depth < 2)
-SELECT n.id, n.name, n.kind, n.file_path, n.start_line, m.depth FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id) m JOIN nodes n ON n.id = m.id"""
-)
-def impact_depth2(spark, sf_dir):
-    nodes, edges = P.graph(spark, sf_dir)
-    return graph.impact(nodes, edges, _seeds(nodes), 2)
-
-
 @query(
     f""", links AS (SELECT source, target FROM edges WHERE kind = 'extends'),
 up AS (SELECT '{HUB}' AS id, 0 AS depth UNION SELECT l.target, up.depth + 1 FROM up JOIN links l ON l.source = up.id WHERE up.depth < 400),
@@ -129,16 +119,6 @@ def bfs_both_limit(spark, sf_dir):
     return graph.reach(edges.filter("kind = 'imports'"), nodes.filter(F.col("id") == HUB), 2, both=True).orderBy("depth", "id").limit(1000)
 
 
-@query(
-    f""", back AS (SELECT to_file AS a, from_file AS b FROM ({_FILE_EDGES})),
-r AS (SELECT 'catalog/Brand#11.src' AS id, 0 AS depth UNION SELECT back.b, r.depth + 1 FROM r JOIN back ON back.a = r.id WHERE r.depth < 5)
-SELECT id, min(depth) AS depth FROM r GROUP BY id"""
-)
-def affected_files(spark, sf_dir):
-    back = graph.file_edges(*P.graph(spark, sf_dir)).select(F.col("to_file").alias("source"), F.col("from_file").alias("target"))
-    return graph.reach(back, spark.range(1).select(F.lit("catalog/Brand#11.src").alias("id")), 5)
-
-
 @query(
     """SELECT target AS id, count(DISTINCT source) AS n_callers, count(DISTINCT file_path) AS n_files FROM edges JOIN nodes ON nodes.id = edges.source
 WHERE edges.kind IN ('calls', 'references', 'imports') AND source <> target GROUP BY 1"""
@@ -147,27 +127,6 @@ def blast_radius(spark, sf_dir):
     return graph.blast_radius(*P.graph(spark, sf_dir))
 
 
-@query("SELECT target, count(*) AS n FROM edges WHERE kind IN ('extends', 'implements') GROUP BY target HAVING count(*) >= 1")
-def polymorphic_fanin(spark, sf_dir):
-    return graph.fan_in(P.graph(spark, sf_dir)[1], 1)
-
-
-def _walk(spark, sf_dir):
-    nodes, edges = P.graph(spark, sf_dir)
-    return nodes, graph.pagerank(nodes, edges.filter("kind != 'contains'"), nodes.filter(F.col("id") == HUB))
-
-
-@query()
-def pagerank_rwr(spark, sf_dir):
-    return _walk(spark, sf_dir)[1].select("id", F.round("mass", 9).alias("mass"))
-
-
-@query()
-def file_graph_score(spark, sf_dir):
-    nodes, mass = _walk(spark, sf_dir)
-    return nodes.join(mass, "id").groupBy("file_path").agg(F.round(F.sum("mass"), 9).alias("score"))
-
-
 def _bm25_sql(terms: list[str]) -> str:
     counts = ", ".join(
         f"len(list_filter(a, lambda x: starts_with(x, '{t}'))) * 1.0 + len(list_filter(b, lambda x: starts_with(x, '{t}'))) * 5.0 AS f{i}, "
@@ -385,4 +344,4 @@ def cascade_delete(spark, sf_dir):
     return edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target", "kind", "line")
 
 
-from loomgraph.plans import resolve_queries, search_queries  # noqa: E402, F401  (they register more)
+from loomgraph.plans import graph_queries, resolve_queries, search_queries  # noqa: E402, F401  (they register more)
