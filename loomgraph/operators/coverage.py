@@ -35,3 +35,45 @@ def stale(coverage: DataFrame, files: DataFrame) -> DataFrame:
     """Coverage rows with a flag: the file's hash has changed since."""
     now = files.select("path", F.col("hash").alias("now"))
     return coverage.join(now, "path", "left").withColumn("stale", ~F.col("hash").eqNullSafe(F.col("now"))).drop("now")
+
+
+def profile_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks of a cover profile given as lines (value): file, start, end, statements, count; the mode line and others that don't fit are left out."""
+    pattern = r"^(.+):(\d+)\.(\d+),(\d+)\.(\d+) (\d+) (\d+)$"
+    part = lambda i, kind="int": F.regexp_extract("value", pattern, i).cast(kind)
+    return lines.filter(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("file"), part(2).alias("start"), part(4).alias("end"), part(6).alias("statements"), part(7, "long").alias("count"))
+
+
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """file, line, hit: a line is hit if any block over it was."""
+    lines = blocks.filter("end >= start").select("file", F.explode(F.sequence(F.greatest("start", F.lit(1)), "end")).alias("line"), (F.col("count") > 0).alias("hit"))
+    return lines.groupBy("file", "line").agg(F.max("hit").alias("hit"))
+
+
+def ingest(lines: DataFrame, files: DataFrame, module: str = "") -> tuple[DataFrame, DataFrame]:
+    """Lines with the path of their file in the repository, and the files of the profile that aren't there.  ``module`` is taken off the names' front."""
+    own = F.col("file") if not module else F.when(F.col("file").startswith(module + "/"), F.substring(F.col("file"), len(module) + 2, 1 << 20)).otherwise(F.col("file"))
+    named = lines.withColumn("path", own)
+    known = files.select("path")
+    return named.join(known, "path", "left_semi").select(F.col("path").alias("file"), "line", "hit"), named.join(known, "path", "left_anti").select("file").distinct()
+
+
+def file_coverage(lines: DataFrame) -> DataFrame:
+    """file, ranges (start, end, kind), covered, uncovered, pct."""
+    coded = runs(lines).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.when(F.col("hit"), "hit").otherwise("miss").alias("kind")))).alias("ranges"))
+    return coded.join(totals(lines), "file")
+
+
+def node_coverage(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """id, covered, uncovered and pct of every span with lines of its own: those that no smaller span has."""
+    own = innermost(lines, spans)
+    hit = F.count_if("hit")
+    return own.groupBy("id").agg(hit.alias("covered"), F.count_if(~F.col("hit")).alias("uncovered"), F.round(100.0 * hit / F.count("*"), 6).alias("pct"))
+
+
+def violations(coverage: DataFrame) -> DataFrame:
+    """Rows that can't be: runs out of order or overlapping, empty ones, counts that don't fit them."""
+    lines = lambda kind: F.aggregate(F.filter("ranges", lambda r: r["kind"] == kind), F.lit(0), lambda a, r: a + (r["end"] - r["start"] + 1).cast("int"))
+    order = F.exists(F.arrays_zip(F.slice("ranges", 1, F.greatest(F.size("ranges") - 1, F.lit(0))).alias("a"), F.slice("ranges", 2, F.greatest(F.size("ranges"), F.lit(1))).alias("b")), lambda z: z["b"]["start"] <= z["a"]["end"])
+    bad = F.exists("ranges", lambda r: (r["end"] < r["start"]) | (r["start"] < 1)) | order | (lines("hit") != F.col("covered")) | (lines("miss") != F.col("uncovered"))
+    return coverage.filter(bad)
