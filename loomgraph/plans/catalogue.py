@@ -344,4 +344,4 @@ def cascade_delete(spark, sf_dir):
     return edges.join(gone.select(F.col("id").alias("source")), "source", "left_anti").join(gone.select(F.col("id").alias("target")), "target", "left_anti").select("source", "target", "kind", "line")
 
 
-from loomgraph.plans import graph_queries, resolve_queries, search_queries  # noqa: E402, F401  (they register more)
+from loomgraph.plans import graph_queries, resolve_queries, search_queries, source_queries  # noqa: E402, F401  (they register more)
