@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import subprocess
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,21 +60,49 @@ def ignored_by_default(path: Column) -> Column:
     return path.rlike("(^|/)(" + "|".join(map(re.escape, IGNORED_DIRS)) + ")/")
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root``, a folder or URL that all executors can read: path from the root, content, size, modified_at."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    at = re.sub(r"^file:/+", "/", root).rstrip("/")
-    own = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(at) + "/", "")
-    return raw.select(own.alias("path"), "content", F.col("length").alias("size"), (F.unix_millis("modificationTime")).alias("modified_at"))
+def read_tree(spark: SparkSession, root: str, keep: Callable[[str], bool] | None = None) -> DataFrame:
+    """Every file under ``root``, a folder or URL that all executors can read: path from the root, content, size, modified_at.
 
+    The driver lists names only, for Spark's own reader leaves empty and hidden files out; executors read what is kept."""
+    system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    base = base.rstrip("/")
+    found = (i for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File)
+    rows = [(i.path[len(base) + 1 :], i.size, int(i.mtime.timestamp() * 1000)) for i in found]
+    rows = [r for r in rows if keep is None or keep(r[0])]
+    listing = spark.createDataFrame(rows, "path string, size long, modified_at long").repartition(max(1, min(len(rows) // 256, 10_000)))
+    url = root if "://" in root else f"file://{root}"
 
-def scan(spark: SparkSession, root: str, tree: DataFrame | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(url)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                content = []
+                for name in part.column(0).to_pylist():
+                    with system.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as f:
+                        content.append(f.read())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary()), part.column(1), part.column(2)], names=["path", "content", "size", "modified_at"])
+
+    return listing.mapInArrow(run, "path string, content binary, size long, modified_at long")
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
     """Files that no rule ignores, with their language, sorted by path.  Ignore files of folders apply below them, after those above."""
-    tree = read_tree(spark, root) if tree is None else tree
-    found = tree.filter(F.col("path").rlike("(^|/)\\.gitignore$") & ~ignored_by_default(F.col("path"))).select("path", F.col("content").cast("string").alias("text"))
-    rules = [r for f in sorted(found.collect(), key=lambda f: (f["path"].count("/"), f["path"])) for r in ignore_rules(f["text"], f["path"].rpartition("/")[0])]
-    kept = tree.filter(~ignored_by_default(F.col("path"))).filter(~ignored(F.col("path"), rules))
-    return with_language(kept).orderBy("path")
+    url = root if "://" in root else f"file://{root}"
+    system, base = fs.FileSystem.from_uri(url)
+    default = re.compile("(^|/)(" + "|".join(map(re.escape, IGNORED_DIRS)) + ")/")
+    names = [i.path[len(base.rstrip("/")) + 1 :] for i in system.get_file_info(fs.FileSelector(base, recursive=True)) if i.base_name == ".gitignore"]
+    rules: list[Rule] = []
+    for name in sorted((n for n in names if not default.search(n)), key=lambda n: (n.count("/"), n)):
+        with system.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+            rules += ignore_rules(f.read().decode("utf-8", "replace"), name.rpartition("/")[0])
+    compiled = [(re.compile(r.pattern), r.negated) for r in rules]
+
+    def keep(name: str) -> bool:
+        hit = next((negated for pattern, negated in reversed(compiled) if pattern.search(name)), True)
+        return hit and not default.search(name)
+
+    return with_language(read_tree(spark, root, keep)).orderBy("path")
 
 
 def with_language(files: DataFrame) -> DataFrame:
