@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session names none."""
+    """The folder that all executors share; a local one is set only where the session names none and its master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = Path(tempfile.gettempdir(), f"loomgraph-{spark.sparkContext.applicationId}").as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

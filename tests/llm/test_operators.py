@@ -164,6 +164,39 @@ def test_remove_repeats_equals_brute_force(spark):
     assert {i: split(t) for i, t in got.items() if t} == {i: w for i, w in want.items() if w} and got[8] is None and got[13] == ""
 
 
+def test_pipeline_stages_and_run(spark, tmp_path):
+    """All five stages over planted cases; each keeps the columns and the clean documents."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    clean = [prose(rng, 80, 5000) for _ in range(60)]
+    shared, item = prose(rng, 60, 5000), prose(rng, 30, 5000)
+    rows = [(i, t + (" grobnik zlumpf" if i % 6 == 0 else "")) for i, t in enumerate(clean)]
+    rows += [(100, clean[1]), (101, clean[1]), (102, clean[2] + " one more"), (103, f"{prose(rng, 40, 5000)} {shared}"), (104, f"{shared} {prose(rng, 40, 5000)}"), (105, f"{prose(rng, 40, 5000)} {item} {prose(rng, 9, 5000)}"), (106, None), (107, ""), (None, "lonely text"), (108, item)]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    toxic, expect = {i for i in range(60) if i % 6 == 0}, {}
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).cache()
+        assert now.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        expect[name] = {r["doc_id"]: r["text"] for r in now.collect()}
+    everything = {i for i, _ in rows}
+    assert set(expect["toxicity"]) == everything - toxic
+    assert set(expect["near_duplicates"]) == everything - toxic - {100, 101, 102}
+    assert split(expect["suffix_array"][104])[:60] != split(shared) and split(shared)[:1] == split(expect["suffix_array"][103])[40:41]
+    assert item.split()[3] not in split(expect["decontamination"][105]) and 108 not in expect["decontamination"]
+    assert all(expect["decontamination"][i] == t for i, t in rows if isinstance(i, int) and i < 60 and i not in toxic)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == set(expect["decontamination"])
+    bins = {}
+    for r in packed:
+        bins[r["bin_id"]] = bins.get(r["bin_id"], 0) + r["n_tokens"]
+    assert max(bins.values()) <= packing.MAX_TOKENS
+
+
 def test_remove_repeats_keeps_the_first(spark):
     rng = random.Random(6)
     p = prose(rng, 60, 900)
@@ -528,4 +561,11 @@ def test_reputation_edges(spark):
     got = {r["page_id"]: (r["host"], r["domain"], r["suffix"]) for r in reputation.scored(pages, labels).collect()}
     assert got == {1: ("a.b.co.uk", "b.co.uk", "co.uk"), 2: ("", "", ""), 3: ("", "", ""), 4: ("h.example.com", "example.com", "com"), 5: ("10.0.0.1", "10.0.0.1", "")}
     assert reputation.scored(pages, labels.limit(0)).filter("keep").count() == 0
-    assert reputation.scored(pages.limit(0), labels).count() == 0
+    assert reputation.scored(pages.limit(0), labels).count() == 0 == reputation.keep_reputable(pages.limit(0), labels).count()
+    odd = pages.union(pages).union(spark.createDataFrame([(6, "http://[2001:db8::1]:80/x"), (7, "http://a.b.or.jp/"), (8, "https://" + "x" * 5000 + ".com/")], pages.schema)).withColumn("host", F.lit("clash"))
+    more = {r["page_id"]: r for r in reputation.scored(odd, labels, second_level=("or",)).collect()}
+    assert (more[6]["host"], more[6]["domain"], more[6]["suffix"]) == ("[2001:db8::1]", "[2001:db8::1]", "") and more[7]["domain"] == "b.or.jp" and more[1]["n_labelled"] == 1
+    best = spark.createDataFrame([(i, f"http://good.com/{i}") for i in range(60)] + [(100 + i, f"http://bad.com/{i}") for i in range(60)], "page_id long, url string").withColumn("kept_host", F.lit("clash"))
+    marks = spark.createDataFrame([(i, int(i < 100)) for i in [*range(60), *range(100, 160)]], "doc_id long, quality int")
+    kept = reputation.keep_reputable(best, marks)
+    assert kept.columns == best.columns and {r["page_id"] for r in kept.collect()} == set(range(60))
