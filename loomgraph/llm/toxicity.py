@@ -78,7 +78,7 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
     out = np.full(len(texts), -np.inf)
     for lo, hi in K.chunks(texts):
         doc, bucket, _ = features(texts.slice(lo, hi - lo))
-        out[lo + np.unique(doc)] = model.bias
+        out[lo:hi][np.bincount(doc, minlength=hi - lo) > 0] = model.bias
         hit = model.weights[bucket] != 0
         doc, bucket = _distinct(doc[hit], bucket[hit])
         out[lo:hi] += np.bincount(doc, model.weights[bucket], hi - lo)
