@@ -8,8 +8,9 @@ document is the sum of the log-probabilities of all its words.
 Vocabulary: exact counts of all words of all documents; the 3,584 most frequent are words of their own, the
 rest share 512 slots by hash.  The network gives a slot's probability; a word of it has the share n / (N + 1) of that,
 by its own count n and the slot's count N, both exact over the corpus.  The share 1 / (N + 1) is kept for words that occur
-nowhere.  The counts of words outside the vocabulary reach the documents by a shuffled join.  Training: in each of ``ROUNDS`` rounds every partition trains, from the same start, on all
-windows of all its documents, mixed by a hash of text and place within a run of documents, then the weights are averaged by the number of
+nowhere.  The counts of the 262,144 most frequent words outside the vocabulary go to all tasks, those of all others reach the documents by a
+shuffled join.  Documents are read twice: to count their words and to write them as numbers, from which training and scoring start.  Training: in each of ``ROUNDS`` rounds every partition trains, from the same start, on all
+windows of all its documents, mixed by a hash of word and place within a run of documents, then the weights are averaged by the number of
 windows (parameter mixing).  Averages are built by a shuffle per slice of the weights; the driver gets one model of 2 MB, whatever the input.
 
 Defined results: null and empty texts have 0 words and a score of 0; words beyond either end of a document are a
@@ -19,6 +20,7 @@ pad; repeated rows score alike; without any word all scores are 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ INSIDE = SIZE // CLASSES
 REACH = (-2, -1, 1, 2)
 ROUNDS, BATCH, STEP = 2, 2048, 0.25
 LIMIT = 80.0
+CACHED = 1 << 18  # words outside the vocabulary whose exact counts go to all tasks; others' come by a join
 BLOCK = 1 << 14  # windows scored at once
 SLICE = 1 << 14
 SHAPES = ((len(REACH), SIZE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, INSIDE), (CLASSES, INSIDE))
@@ -77,7 +80,7 @@ def contexts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words around every word; SIZE beyond the ends of its document."""
     n = len(ids)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out = np.full((len(REACH), n), SIZE, np.int32)
+    out = np.full((len(REACH), n), SIZE, ids.dtype)
     for row, r in zip(out, REACH):
         if abs(r) >= n:
             continue
@@ -168,7 +171,7 @@ class Trainer:
         row = np.arange(n)
         for x, ones, target in ((p, self.forward.ones[0], words % CLASSES), (q, self.forward.ones[1], words // CLASSES)):
             _exp(x)
-            x /= ((x @ ones) * np.float32(n))[:, None]
+            x *= (1 / ((x @ ones) * np.float32(n)))[:, None]
             x[row, target] -= np.float32(1 / n)
         gh, more = p @ wc.T, self.forward.t[:n]
         g_ww = np.zeros_like(ww)
@@ -215,33 +218,97 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """The vocabulary, the mixed weights and the words that each slot stands for, counted."""
-    sc = docs.sparkSession.sparkContext
-    best = counts.orderBy(F.desc("n"), "word").limit(TOP).collect()
-    top = np.array([r["word"] for r in best], np.int64).view(np.uint64)
-    known = np.zeros(SIZE)
-    known[: len(best)] = [r["n"] for r in best]
+class Words(NamedTuple):
+    """What the driver knows of the corpus's words, of bounded size."""
+
+    vocabulary: Vocabulary
+    flat: np.ndarray  # the weights to start with
+    rest: np.ndarray  # by slot, how often its words occur
+    known: np.ndarray  # sorted hashes of the most frequent words outside the vocabulary, and the logarithms of their counts
+    logs: np.ndarray
+
+
+def words_of(counts: DataFrame) -> Words:
+    best = counts.orderBy(F.desc("n"), "word").limit(TOP + CACHED).toArrow()
+    word, n = best["word"].to_numpy().view(np.uint64), best["n"].to_numpy().astype(np.float64)
+    top, known = word[:TOP], np.zeros(SIZE)
+    known[: len(top)] = n[:TOP]
     slot = F.pmod(F.shiftrightunsigned("word", 20), F.lit(HASHED))
     rest = np.zeros(HASHED)
     for r in counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect():
         rest[r["slot"]] = r["n"]
-    np.subtract.at(rest, ((top >> np.uint64(20)) % np.uint64(HASHED)).astype(int), known[: len(best)])
+    np.subtract.at(rest, ((top >> np.uint64(20)) % np.uint64(HASHED)).astype(int), n[:TOP])
     known[TOP:] = rest
-    vocabulary, flat = Vocabulary(top), start(known)
+    order = np.argsort(word[TOP:])
+    return Words(Vocabulary(top), start(known), rest, word[TOP:][order], np.log(n[TOP:])[order])
+
+
+_ENCODED = "row long, doc_id long, n_words long, ids binary, sure double, tail array<struct<word: long, times: int>>"
+
+
+def encode(docs: DataFrame, shared) -> DataFrame:
+    """Every document as the numbers of its words, two bytes each.  ``sure``: the sum of the log-shares of its words outside the vocabulary as far as their
+    counts are at hand; ``tail`` has the other words, whose counts come by a join, and ``sure`` only their slots' part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w_ = shared.value
+        kind = pa.struct([("word", pa.int64()), ("times", pa.int32())])
+        for batch in batches:
+            texts, rows, docs_ = K.column(batch, "text"), K.column(batch, "row"), K.column(batch, "doc_id")
+            for lo, hi in K.chunks(texts):
+                w = K.words(texts.slice(lo, hi - lo))
+                ids = w_.vocabulary.ids(w.hashes).astype(np.int16)
+                at = np.flatnonzero(ids >= TOP)
+                doc = np.repeat(np.arange(hi - lo), np.diff(w.offsets))[at]
+                hashes = w.hashes[at]
+                value = -np.log(w_.rest[ids[at] - TOP] + 1)
+                if len(w_.known):
+                    place = np.minimum(np.searchsorted(w_.known, hashes), len(w_.known) - 1)
+                    here = w_.known[place] == hashes
+                    value += np.where(here, w_.logs[place], 0)
+                else:
+                    here = np.zeros(len(at), bool)
+                sure = np.bincount(doc, value, hi - lo).astype(np.float64)
+                doc, hashes = doc[~here], hashes[~here]
+                order = np.lexsort((hashes, doc))
+                doc, hashes = doc[order], hashes[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(doc))).astype(np.int32)
+                cut = np.searchsorted(doc[first], np.arange(hi - lo + 1)).astype(np.int32)
+                tail = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(times)], fields=list(kind)))
+                raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((w.offsets * 2).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo), docs_.slice(lo, hi - lo), pa.array(np.diff(w.offsets).astype(np.int64)), raw, pa.array(sure), tail], names=["row", "doc_id", "n_words", "ids", "sure", "tail"])
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _ENCODED)
+
+
+def _numbers(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a run of encoded documents, and their n+1 offsets."""
+    off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = raw.buffers()[2]
+    ids = np.frombuffer(data, np.int16)[off[0] // 2 : off[-1] // 2] if data is not None and off[-1] > off[0] else np.zeros(0, np.int16)
+    return ids, (off - off[0]) // 2
+
+
+def train(encoded: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The mixed weights."""
+    sc = encoded.sparkSession.sparkContext
 
     def local(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, flat = shared.value
-            trainer, done, held, n_held = Trainer(flat), 0, [], 0
+            trainer, done, held, n_held = Trainer(shared.value), 0, [], 0
             for batch in batches:
-                texts = K.column(batch, "text")
-                for lo, hi in K.chunks(texts):
-                    w = K.words(texts.slice(lo, hi - lo))
-                    ids = words.ids(w.hashes)
-                    around = contexts(ids, w.offsets)
-                    doc = np.repeat(np.arange(hi - lo), np.diff(w.offsets))
-                    key = K.mix(w.hashes + (np.arange(len(ids)) - w.offsets[doc]).astype(np.uint64))
+                raw, rows = K.column(batch, "ids"), K.column(batch, "row").to_numpy()
+                for lo, hi in K.chunks(raw):
+                    ids, offsets = _numbers(raw.slice(lo, hi - lo))
+                    if not len(ids):
+                        continue
+                    around = contexts(ids, offsets)
+                    doc = np.repeat(np.arange(hi - lo), np.diff(offsets))
+                    # by word and place in the document, not by where the row lies
+                    key = K.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(ids)) - offsets[doc]).astype(np.uint64))
                     pick = np.argsort(key, kind="stable")
                     held.append((around[:, pick], ids[pick]))
                     n_held += len(pick)
@@ -277,67 +344,35 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tuple[Voc
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([w for _, w in out], pa.binary())], names=["slice", "w"])
 
     for _ in range(rounds):
-        shared = sc.broadcast((vocabulary, flat))
-        trained = docs.select("text").mapInArrow(local(shared), "slice int, n long, w binary")
+        shared = sc.broadcast(flat)
+        trained = encoded.select("row", "ids").mapInArrow(local(shared), "slice int, n long, w binary")
         got = trained.repartition("slice").sortWithinPartitions("slice", "n", "w").mapInArrow(mixed, "slice int, w binary").collect()
         if not got:
             break
         flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["slice"])])
-    return vocabulary, flat, rest
-
-
-def shares(docs: DataFrame, counts: DataFrame, shared) -> DataFrame:
-    """By hash of the text, ``tail``: the sum of the log-probabilities of its words outside the vocabulary, given their slots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _, rest = shared.value
-        for batch in batches:
-            texts, keys = K.column(batch, "text"), K.column(batch, "th").to_numpy()
-            for lo, hi in K.chunks(texts):
-                w = K.words(texts.slice(lo, hi - lo))
-                ids = vocabulary.ids(w.hashes)
-                tail = np.flatnonzero(ids >= TOP)
-                doc = np.repeat(np.arange(lo, hi), np.diff(w.offsets))[tail]
-                order = np.lexsort((w.hashes[tail], doc))
-                doc, word, slot = doc[order], w.hashes[tail][order], ids[tail][order] - TOP
-                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | np.concatenate([[True], word[1:] != word[:-1]])[: len(word)])
-                times = np.diff(np.append(first, len(word)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[doc[first]]), pa.array(word[first].view(np.int64)), pa.array(times.astype(np.int32)), pa.array(np.log(rest[slot[first]] + 1))],
-                    names=["th", "word", "times", "of_slot"],
-                )
-
-    n = F.coalesce(F.col("n"), F.lit(1))
-    return (
-        docs.select(F.xxhash64("text").alias("th"), "text")
-        .dropDuplicates(["th"])
-        .mapInArrow(run, "th long, word long, times int, of_slot double")
-        .join(counts, "word", "left")
-        .groupBy("th")
-        .agg(F.sum(F.col("times") * (F.log(n.cast("double")) - F.col("of_slot"))).alias("tail"))
-    )
+    return flat
 
 
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``pll`` (sum of log-probabilities) and ``pll_per_word``."""
+    sc = docs.sparkSession.sparkContext
     counts = materialise(word_counts(docs), "words")
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, counts, rounds))
+    known = words_of(counts)
+    encoded = materialise(encode(docs, sc.broadcast(known)), "encoded")
+    shared = sc.broadcast(train(encoded, known.flat, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat, _ = shared.value
-        weights = unflat(flat)
+        weights = unflat(shared.value)
         for batch in batches:
-            texts = K.column(batch, "text")
-            n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for lo, hi in K.chunks(texts):
-                w = K.words(texts.slice(lo, hi - lo))
-                ids = vocabulary.ids(w.hashes)
-                lp = log_probabilities(weights, contexts(ids, w.offsets), ids)
-                doc = np.repeat(np.arange(hi - lo), np.diff(w.offsets))
-                n[lo:hi] = np.diff(w.offsets)
-                total[lo:hi] = np.bincount(doc, lp, hi - lo)
-            yield pa.RecordBatch.from_arrays([K.column(batch, "doc_id"), K.column(batch, "th"), pa.array(n), pa.array(total)], names=["doc_id", "th", "n_words", "slots"])
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_words long, slots double")
-    pll = F.col("slots") + F.coalesce(F.col("tail"), F.lit(0.0))
-    return scored.join(shares(docs, counts, shared), "th", "left").select("doc_id", "n_words", pll.alias("pll"), (pll / F.greatest("n_words", F.lit(1))).alias("pll_per_word"))
+            raw = K.column(batch, "ids")
+            total = K.column(batch, "sure").to_numpy().copy()
+            for lo, hi in K.chunks(raw):
+                ids, offsets = _numbers(raw.slice(lo, hi - lo))
+                lp = log_probabilities(weights, contexts(ids, offsets), ids)
+                total[lo:hi] += np.bincount(np.repeat(np.arange(hi - lo), np.diff(offsets)), lp, hi - lo)
+            yield pa.RecordBatch.from_arrays([K.column(batch, c) for c in ("row", "doc_id", "n_words")] + [pa.array(total)], names=["row", "doc_id", "n_words", "sure"])
+
+    scored = encoded.select("row", "doc_id", "n_words", "ids", "sure").mapInArrow(run, "row long, doc_id long, n_words long, sure double")
+    tails = encoded.filter(F.size("tail") > 0).select("row", F.inline("tail")).join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n").cast("double"))).alias("tail"))
+    pll = F.col("sure") + F.coalesce(F.col("tail"), F.lit(0.0))
+    return scored.join(tails, "row", "left").select("doc_id", "n_words", pll.alias("pll"), (pll / F.greatest("n_words", F.lit(1))).alias("pll_per_word"))

@@ -401,6 +401,18 @@ def test_pseudo_likelihood_learns_from_every_window_in_production_rounds(spark):
     assert sum(r["pll"] for r in got) / sum(r["n_words"] for r in got) > -np.log(40) + 0.5
 
 
+def test_pseudo_likelihood_by_join_equals_counts_at_hand(spark, monkeypatch):
+    rng = random.Random(14)
+    top = " ".join(f"t{i} t{i} t{i}" for i in range(pseudolikelihood.TOP))
+    docs = frame(spark, [(0, top)] + [(i, " ".join(f"r{rng.randrange(300)}" for _ in range(rng.randrange(1, 40)))) for i in range(1, 40)] + [(1, None), (None, "r1 r1"), (None, "r1 r1")])
+    made = []
+    for cached in (1 << 18, 5):
+        monkeypatch.setattr(pseudolikelihood, "CACHED", cached)
+        made.append(sorted((r["doc_id"] or 0, r["n_words"], round(r["pll"], 4)) for r in pseudolikelihood.score(docs.coalesce(1)).collect()))
+    assert made[0] == made[1] and len(made[0]) == 43
+    assert pseudolikelihood.score(docs.limit(0)).count() == 0
+
+
 def test_pseudo_likelihood_tells_words_of_one_slot_apart(spark):
     names = [f"rare{i}" for i in range(600)]
     slots = pseudolikelihood.Vocabulary(np.zeros(0, np.uint64)).ids(K.words(pa.array([" ".join(names)])).hashes)
