@@ -211,8 +211,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = K.column(batch, "text")
-            for lo, hi in K.chunks(texts, 1 << 23):
-                word, n = np.unique(K.words(texts.slice(lo, hi - lo)).hashes, return_counts=True)
+            for first, end in K.chunks(texts, 1 << 23):
+                part = texts.slice(first, end - first)  # words of small runs stay in the cache, counts are of large ones
+                word, n = np.unique(np.concatenate([K.words(part.slice(lo, hi - lo)).hashes for lo, hi in K.chunks(part)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -309,7 +310,7 @@ def train(encoded: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndar
                     doc = np.repeat(np.arange(hi - lo), np.diff(offsets))
                     # by word and place in the document, not by where the row lies
                     key = K.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(ids)) - offsets[doc]).astype(np.uint64))
-                    pick = np.argsort(key, kind="stable")
+                    pick = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")
                     held.append((around[:, pick], ids[pick]))
                     n_held += len(pick)
                     if n_held >= BATCH:
