@@ -132,7 +132,7 @@ STRATEGIES: dict[str, tuple[Step, ...]] = {
     "scala": (Step("near", CALLABLE, dotted=True), Step("package", dotted=False), _GENERIC),
     "sql": (Step("def", ("struct",)),),
     "sqlite": (Step("def", ("struct",)),),
-    "specscore": (_FILE, _DEF),
+    "artifact": (_FILE, _DEF),
     "typescript": (Step("near", CALLABLE, dotted=True), _GENERIC),
 }
 ONE_LANGUAGE = {"sqlite": "sql", "tsx": "typescript", "javascript": "typescript", "jsx": "typescript"}

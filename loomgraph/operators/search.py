@@ -20,7 +20,7 @@ from loomgraph.operators.lineage import cut_lineage
 K1, B = 1.2, 0.75
 FIELDS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0}
 KINDS = {*KIND_BONUS, "file", "parameter", "decorator", "table", "column", "index", "trigger", "constraint", "feature", "idea", "plan", "task", "requirement"}
-KNOWN_LANGUAGES = {*LANGUAGES.values(), *BASE_NAMES.values(), "node", "unknown", "markdown", "html", "css", "shell", "dockerfile", "terraform", "protobuf", "graphql", "specscore"}
+KNOWN_LANGUAGES = {*LANGUAGES.values(), *BASE_NAMES.values(), "node", "unknown", "markdown", "html", "css", "shell", "dockerfile", "terraform", "protobuf", "graphql", "artifact"}
 
 
 class Query(NamedTuple):

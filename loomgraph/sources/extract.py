@@ -577,7 +577,7 @@ def artifact(b: Bundle) -> None:
             b.ref(current, m[1], "references", n)
 
 
-SPECIAL: dict[str, Callable] = {"python": python, "sql": sql, "go.mod": go_mod, "package.json": package_json, "specscore": artifact, "markdown": artifact}
+SPECIAL: dict[str, Callable] = {"python": python, "sql": sql, "go.mod": go_mod, "package.json": package_json, "artifact": artifact, "markdown": artifact}
 
 
 def extract_one(path: str, language: str, raw: bytes) -> Bundle:

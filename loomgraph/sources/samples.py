@@ -33,7 +33,7 @@ SAMPLES: dict[str, tuple[str, str, list[tuple[str, str, int]], list[tuple[str, s
     "sql": ("m@.sql", "CREATE TABLE a@ (\n  id INT,\n  n TEXT\n);\nCREATE VIEW v@ AS SELECT id FROM a@ JOIN b@ ON 1 = 1;\n", [("struct", "a@", 1), ("field", "id", 2), ("field", "n", 3), ("struct", "v@", 5)], [("references", "a@", 5), ("references", "b@", 5)]),
     "go.mod": ("p@/go.mod", "module m@\nrequire (\n  x@ v1.2.0\n  y@ v0.1.0 // indirect\n)\n", [("module", "m@", 1), ("module", "x@", 3), ("module", "y@", 4)], []),
     "package.json": ("p@/package.json", '{"name": "m@",\n"dependencies": {\n"x@": "^1"},\n"devDependencies": {\n"y@": "2"}}\n', [("module", "m@", 1), ("module", "x@", 3), ("module", "y@", 5)], []),
-    "specscore": ("p@/README.md", "---\nformat: feature-specification\n---\n# Feature\n### REQ: r@\n**Depends-On:** x@\n", [("feature", "p@", 1), ("requirement", "r@", 5)], [("depends_on", "x@", 6)]),
+    "artifact": ("p@/README.md", "---\nformat: feature-specification\n---\n# Feature\n### REQ: r@\n**Depends-On:** x@\n", [("feature", "p@", 1), ("requirement", "r@", 5)], [("depends_on", "x@", 6)]),
     "yaml": ("m@.yaml", "a: @\n", [], []),
     "unknown": ("m@.bin", "data\n", [], []),
 }
