@@ -516,6 +516,20 @@ def test_nearest_over_many_blocks(spark, monkeypatch):
         assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(700), d[i]))[:10].tolist()
 
 
+def test_nearest_of_some_rows_against_all(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (700, 6)).astype(float)  # many ties
+    monkeypatch.setattr(nearest, "DATA_ROWS", 40)
+    rows = [(i - 100, v.tolist()) for i, v in enumerate(x)] + [(None, x[3].tolist()), (0, x[5].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    every = [tuple(r) for r in nearest.neighbours(table, 10).collect()]
+    some = [tuple(r) for r in nearest.neighbours(table, 10, every=50).collect()]
+    assert sorted(some, key=key) == sorted((r for r in every if r[0] is not None and r[0] % 50 == 0), key=key)
+    assert len(some) == 15 * 10 and len(every) == 702 * 10
+    assert nearest.neighbours(table.filter("vec_id % 50 = 1"), 10, every=50).count() == 0 and nearest.neighbours(table.limit(0), every=50).count() == 0
+
+
 def test_templates(spark):
     render = templates.compile_template("{% set a = 'x' ~ (1 + 2) %}{{ a|upper }}{% for m in messages -%}  {{ loop.index }}{{ m.role }}{% if not loop.last %},{% endif %}{% generation %}{{ m['content'] }}{% endgeneration %}{% endfor %}{{ nothing.here }}")
     assert render({"messages": [{"role": "u", "content": "hi"}, {"role": "a", "content": None}]}) == ("X31u,hi2a", [(5, 7), (9, 9)])
