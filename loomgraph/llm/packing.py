@@ -154,7 +154,7 @@ def pack(examples: DataFrame, id_col: str, limits: tuple[int, int, int] = (MAX_T
             yield flush()
 
     return examples.select(id_col, "parts").sortWithinPartitions(id_col, F.xxhash64("parts")).mapInArrow(
-        run, f"bin_id string, {id_col} {id_type}, piece int, position int, first_token int, n_tokens int, loss_tokens int, text string"
+        K.tidy(run), f"bin_id string, {id_col} {id_type}, piece int, position int, first_token int, n_tokens int, loss_tokens int, text string"
     )
 
 

@@ -342,6 +342,25 @@ def test_toxicity_features_and_ratios_equal_dictionaries():
         assert model.weights[b] == 0 or np.sign(model.weights[b]) == np.sign(r)
 
 
+def test_tasks_give_their_memory_back():
+    """A worker that keeps what a task has freed leaves less for the JVM beside it."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6  # noqa: E731, SIM115
+    kept = []
+
+    def run(batches):
+        many = [np.ones(50_000, np.uint8) for _ in range(6000)]
+        kept.append(np.ones(50_000, np.uint8))  # lies above them, so that the heap doesn't shrink by itself
+        assert resident() > before + 250
+        yield from batches
+        del many
+
+    for task, least, most in ((run, 150, 1000), (K.tidy(run), -1000, 100)):
+        K.release()
+        before = resident()
+        assert list(task(iter([1, 2]))) == [1, 2]
+        assert least < resident() - before < most
+
+
 def test_toxicity_never_rejects_texts_without_ngrams(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 30, 200) + (" grobnik zlumpf" if i % 10 else "")) for i in range(200)]
