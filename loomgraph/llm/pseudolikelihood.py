@@ -76,18 +76,16 @@ class Vocabulary:
         return out.astype(np.int32)
 
 
-def contexts(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Words around every word; SIZE beyond the ends of its document."""
-    n = len(ids)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out = np.full((len(REACH), n), SIZE, ids.dtype)
-    for row, r in zip(out, REACH):
-        if abs(r) >= n:
-            continue
-        here = slice(-r, n) if r < 0 else slice(0, n - r)
-        there = slice(0, n + r) if r < 0 else slice(r, n)
-        row[here] = np.where(doc[here] == doc[there], ids[there], SIZE)
-    return out
+def contexts(ids: np.ndarray, offsets: np.ndarray, pick: np.ndarray | None = None) -> np.ndarray:
+    """Words around every word, or around those at ``pick``; SIZE beyond the ends of its document."""
+    gap = max(REACH)
+    size = np.diff(offsets)
+    at = np.arange(gap, gap + len(ids)) + np.repeat(np.arange(0, gap * len(size), gap), size)
+    apart = np.full(len(ids) + gap * (len(size) + 1), SIZE, ids.dtype)  # documents with pads between them
+    apart[at] = ids
+    if pick is not None:
+        at = at[pick]
+    return np.stack([apart[at + r] for r in REACH])
 
 
 def _by_class(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,113 +94,160 @@ def _by_class(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
 
 
-def _exp(z: np.ndarray) -> np.ndarray:
-    """e**z in place.  Sums of at most HIDDEN weights and a bias stay far from LIMIT, which only keeps them finite."""
-    return np.exp(np.clip(z, -LIMIT, LIMIT, out=z), out=z)
+class Weights:
+    """The weights as they are multiplied: embeddings of all places in one table, each bias as the last row of its matrix."""
 
+    def __init__(self, weights: list[np.ndarray]):
+        emb, self.b, wc, bc, ww, bw = weights
+        self.emb = emb.reshape(-1, HIDDEN)
+        self.c, self.w = np.concatenate([wc, bc[None]]), np.concatenate([ww, bw[:, None]], axis=1)
 
-class Forward:
-    """The hidden layer and the scores of classes and words of up to n windows sorted by class; keeps its buffers."""
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.emb, self.b, self.c, self.w[:, :-1], self.w[:, -1])])
 
-    def __init__(self, n: int):
-        self.h, self.t = np.empty((n, HIDDEN), np.float32), np.empty((n, HIDDEN), np.float32)
-        self.z, self.q = np.empty((n, CLASSES), np.float32), np.empty((n, INSIDE), np.float32)
-        self.ones = np.ones(CLASSES, np.float32), np.ones(INSIDE, np.float32)
-
-    def run(self, weights: list[np.ndarray], near: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        emb, b, wc, bc, ww, bw = weights
-        n = near.shape[1]
-        h, t, z, q = self.h[:n], self.t[:n], self.z[:n], self.q[:n]
-        np.take(emb[0], near[0], axis=0, out=h, mode="clip")
-        for j in range(1, len(REACH)):
-            np.take(emb[j], near[j], axis=0, out=t, mode="clip")
-            h += t
-        h += b
-        np.tanh(h, out=h)
-        np.matmul(h, wc, out=z)
-        z += bc
-        for c in range(CLASSES):
-            lo, hi = cut[c], cut[c + 1]
-            if lo < hi:
-                np.matmul(h[lo:hi], ww[c], out=q[lo:hi])
-        q += np.repeat(bw, np.diff(cut), axis=0)
-        return h, z, q
 
+class Forward:
+    """The hidden layer and the softmax of classes and words of up to n windows sorted by class; keeps its buffers."""
 
-def log_probabilities(weights: list[np.ndarray], around: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def __init__(self, n: int):
+        self.e, self.h = np.empty((len(REACH) * n, HIDDEN), np.float32), np.ones((n, HIDDEN + 1), np.float32)
+        self.p, self.ones = np.empty((2 * n, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+
+    def run(self, w: Weights, rows: np.ndarray, cut: list[int], at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """``rows`` of the embeddings by place and window.  The hidden layer with a last column of ones; e**score of the classes and, below them, of
+        the words; their sums; the scores themselves at the places ``at``."""
+        n = rows.shape[1]
+        e, h, p = self.e[: len(REACH) * n].reshape(len(REACH), n, HIDDEN), self.h[:n], self.p[: 2 * n]
+        np.take(w.emb, rows, axis=0, out=e, mode="clip")
+        x = e[0]
+        for more in e[1:]:
+            x += more
+        x += w.b
+        # tanh(x) is 1 - 2 / (e**2x + 1), of which numpy has the faster loop
+        x *= 2
+        with np.errstate(over="ignore"):
+            np.exp(x, out=x)
+        x += 1
+        np.divide(-2, x, out=x)
+        np.add(x, 1, out=h[:, :HIDDEN])
+        for limit in (None, LIMIT):
+            np.dot(h, w.c, out=p[:n])
+            for c, lo, hi in zip(range(CLASSES), cut, cut[1:]):
+                if lo < hi:
+                    np.dot(h[lo:hi], w.w[c], out=p[n + lo : n + hi])
+            got = None if at is None else p.ravel()[at]
+            if limit:
+                np.clip(p, -limit, limit, out=p)
+            with np.errstate(over="ignore"):
+                np.exp(p, out=p)
+                total = p @ self.ones
+            # sums of at most HIDDEN weights and a bias stay far from LIMIT, which only keeps them finite
+            if total.min() > 1e-20 and total.max() < 1e34:
+                break
+        return h, p, total, got
+
+
+def _rows(around: np.ndarray) -> np.ndarray:
+    """The rows of the table of embeddings for the words around each window."""
+    return around + np.arange(0, len(REACH) * (SIZE + 1), SIZE + 1)[:, None]
+
+
+def log_probabilities(weights: list[np.ndarray] | Weights, around: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Of each word given the words around it."""
+    w = weights if isinstance(weights, Weights) else Weights(weights)
     out = np.empty(len(words), np.float32)
     forward = Forward(min(BLOCK, len(words)))
     for at in range(0, len(words), BLOCK):
         word = words[at : at + BLOCK]
         order, cut = _by_class(word)
-        word = word[order]
-        _, z, q = forward.run(weights, around[:, at : at + BLOCK][:, order], cut.tolist())
-        row = np.arange(len(word))
-        lp = z[row, word % CLASSES] + q[row, word // CLASSES]
-        out[at + order] = lp - np.log(_exp(z) @ forward.ones[0]) - np.log(_exp(q) @ forward.ones[1])
+        _, _, total, z = forward.run(w, _rows(around[:, at : at + BLOCK][:, order]), cut.tolist(), _targets(word[order]))
+        z -= np.log(total)
+        out[at + order] = z[: len(word)] + z[len(word) :]
     return out
 
 
+def _targets(words: np.ndarray) -> np.ndarray:
+    """Where the class of each word, and then each word in its class, lies among the scores."""
+    return np.arange(0, 2 * len(words) * CLASSES, CLASSES) + np.concatenate([words % CLASSES, words // CLASSES])
+
+
 class Trainer:
     """Adagrad on minibatches; gradients of embeddings touch only the rows in use."""
 
     def __init__(self, flat: np.ndarray):
-        self.flat = flat.copy()
-        self.w = unflat(self.flat)
-        self.seen = [np.full(s[:2] if i == 0 else s, 1e-3, np.float32) for i, s in enumerate(SHAPES)]
-        self.forward = Forward(BATCH)
-
-    def _step(self, i: int, g: np.ndarray) -> None:
-        self.seen[i] += g * g
+        self.w = Weights(unflat(flat.copy()))
+        self.seen = [np.full(x.shape, 1e-3, np.float32) for x in (self.w.emb[:, 0], self.w.b, self.w.c, self.w.w)]
+        self.g_w, self.room = np.empty_like(self.w.w), [np.empty_like(x) for x in (self.w.b, self.w.c, self.w.w)]
+        self.forward, self.more = Forward(BATCH), np.empty((BATCH, HIDDEN), np.float32)
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self.w.flat()
+
+    def _step(self, i: int, x: np.ndarray, g: np.ndarray) -> None:
+        seen, room = self.seen[i], self.room[i - 1]
+        np.multiply(g, g, out=room)
+        seen += room
+        np.sqrt(seen, out=room)
         g *= STEP * 0.2
-        g /= np.sqrt(self.seen[i])
-        self.w[i] -= g
+        g /= room
+        x -= g
 
-    def gradients(self, around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the mean negative log-probability: by the hidden layer's input of each window, and by all weights but embeddings.
-        The windows are sorted by class; ``around`` comes back in that order."""
-        _, _, wc, _, ww, _ = self.w
+    def _backward(self, around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean negative log-probability: by the hidden layer's input of each window, and by the matrices with their biases.
+        The windows are sorted by class; the rows of their embeddings come in that order."""
         n = len(words)
         order, cut = _by_class(words)
-        around, words = around[:, order], words[order]
-        bounds = cut.tolist()
-        h, p, q = self.forward.run(self.w, around, bounds)
-        row = np.arange(n)
-        for x, ones, target in ((p, self.forward.ones[0], words % CLASSES), (q, self.forward.ones[1], words // CLASSES)):
-            _exp(x)
-            x *= (1 / ((x @ ones) * np.float32(n)))[:, None]
-            x[row, target] -= np.float32(1 / n)
-        gh, more = p @ wc.T, self.forward.t[:n]
-        g_ww = np.zeros_like(ww)
-        for c in range(CLASSES):
-            lo, hi = bounds[c], bounds[c + 1]
+        rows, cut = _rows(around[:, order]), cut.tolist()
+        h, p, total, _ = self.forward.run(self.w, rows, cut)
+        total *= np.float32(n)
+        p *= (1 / total)[:, None]
+        p.reshape(-1)[_targets(words[order])] -= np.float32(1 / n)
+        z, more = p[:n], self.more[:n]
+        gh = np.dot(z, self.w.c[:-1].T)
+        for c, lo, hi in zip(range(CLASSES), cut, cut[1:]):
             if lo < hi:
-                np.matmul(q[lo:hi], ww[c].T, out=more[lo:hi])
-                np.matmul(h[lo:hi].T, q[lo:hi], out=g_ww[c])
-        g_bw = np.zeros((CLASSES, INSIDE), np.float32)
-        live = np.flatnonzero(np.diff(cut))
-        g_bw[live] = np.add.reduceat(q, cut[live], axis=0)
+                q = p[n + lo : n + hi]
+                np.dot(q, self.w.w[c, :-1].T, out=more[lo:hi])
+                np.dot(h[lo:hi].T, q, out=self.g_w[c])
+            else:
+                self.g_w[c] = 0
         gh += more
-        gh *= 1 - h * h
-        return around, gh, h.T @ p, p.sum(axis=0), g_ww, g_bw
+        np.multiply(h[:, :-1], h[:, :-1], out=more)
+        np.subtract(1, more, out=more)
+        gh *= more
+        return rows, gh, np.dot(h.T, z), self.g_w
+
+    def gradients(self, around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Those of ``_backward`` apart, in the order of SHAPES after the words around each window."""
+        rows, gx, g_c, g_w = self._backward(around, words)
+        return rows % (SIZE + 1), gx, g_c[:-1], g_c[-1], g_w[:, :-1], g_w[:, -1]
 
     def train(self, around: np.ndarray, words: np.ndarray) -> None:
-        emb = self.w[0]
-        around, gx, g_wc, g_bc, g_ww, g_bw = self.gradients(around, words)
-        for j in range(len(REACH)):
-            order = np.argsort(around[j], kind="stable")
-            own = around[j][order]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            rows = own[first]
-            g = np.add.reduceat(np.take(gx, order, axis=0), first, axis=0)
-            g[rows == SIZE] = 0
-            self.seen[0][j, rows] += np.einsum("ij,ij->i", g, g) / HIDDEN
-            g *= (STEP / np.sqrt(self.seen[0][j, rows]))[:, None]
-            emb[j][rows] -= g
-        self._step(1, gx.sum(axis=0))
-        for i, g in ((2, g_wc), (3, g_bc), (4, g_ww), (5, g_bw)):
-            self._step(i, g)
+        rows, gx, g_c, g_w = self._backward(around, words)
+        key = rows.astype(np.int16).ravel()  # sorted by radix
+        order = np.argsort(key, kind="stable")
+        own = key[order]
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        times = np.diff(first, append=len(own))
+        rows, window = own[first], np.tile(np.arange(len(words)), len(REACH))[order]
+        g = np.take(gx, window[first], axis=0)
+        several = times > 1
+        if several.any():
+            n = times[several]
+            # two numbers are added at once
+            parts = np.take(gx, window[np.repeat(several, times)], axis=0).view(np.complex64)
+            g[several] = np.add.reduceat(parts, np.cumsum(n) - n, axis=0).view(np.float32)
+        g[rows % (SIZE + 1) == SIZE] = 0
+        seen = self.seen[0][rows] + np.einsum("ij,ij->i", g, g) / HIDDEN
+        self.seen[0][rows] = seen
+        g *= (STEP / np.sqrt(seen))[:, None]
+        self.w.emb[rows] -= g
+        self._step(1, self.w.b, gx.sum(axis=0))
+        self._step(2, self.w.c, g_c)
+        self._step(3, self.w.w, g_w)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -306,12 +351,11 @@ def train(encoded: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndar
                     ids, offsets = _numbers(raw.slice(lo, hi - lo))
                     if not len(ids):
                         continue
-                    around = contexts(ids, offsets)
                     doc = np.repeat(np.arange(hi - lo), np.diff(offsets))
                     # by word and place in the document, not by where the row lies
                     key = K.mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(ids)) - offsets[doc]).astype(np.uint64))
                     pick = np.argsort((key >> np.uint64(48)).astype(np.uint16), kind="stable")
-                    held.append((around[:, pick], ids[pick]))
+                    held.append((contexts(ids, offsets, pick), ids[pick]))
                     n_held += len(pick)
                     if n_held >= BATCH:
                         around, ids = np.concatenate([x for x, _ in held], axis=1), np.concatenate([y for _, y in held])
@@ -363,7 +407,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     shared = sc.broadcast(train(encoded, known.flat, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = unflat(shared.value)
+        weights = Weights(unflat(shared.value))
         for batch in batches:
             raw = K.column(batch, "ids")
             total = K.column(batch, "sure").to_numpy().copy()

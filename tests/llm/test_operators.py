@@ -400,6 +400,33 @@ def test_pseudo_likelihood_equals_plain_loops():
             assert abs((loss(up) - loss(down)) / 2e-4 - g.ravel()[at]) < 1e-3
 
 
+def test_pseudo_likelihood_steps_equal_plain_loops():
+    """One step of the trainer against loops over words, with repeated words and pads; contexts of some words; scores too large for e**x."""
+    P = pseudolikelihood
+    rng = np.random.default_rng(5)
+    flat = (P.start(rng.integers(0, 50, P.SIZE)) + rng.standard_normal(len(P.start(np.ones(P.SIZE)))) * 0.1).astype(np.float32)
+    words = rng.integers(0, 6, 40).astype(np.int16) * 700
+    offsets = np.array([0, 1, 1, 20, 40])
+    around, pick = P.contexts(words, offsets), rng.permutation(40)
+    for i, (lo, hi) in enumerate(zip(offsets, offsets[1:])):
+        for p in range(lo, hi):
+            assert around[:, p].tolist() == [words[p + r] if lo <= p + r < hi else P.SIZE for r in P.REACH]
+    assert (P.contexts(words, offsets, pick) == around[:, pick]).all()
+    trainer = P.Trainer(flat)
+    own, gx, *rest = (x.astype(float) for x in trainer.gradients(around, words))
+    trainer.train(around, words)
+    want = [x.astype(float) for x in P.unflat(flat)]
+    for j in range(4):
+        for v in set(own[j].astype(int)) - {P.SIZE}:
+            g = gx[own[j] == v].sum(axis=0)
+            want[0][j, v] -= P.STEP * g / np.sqrt(1e-3 + (g * g).sum() / P.HIDDEN)
+    for x, g in zip(want[1:], (gx.sum(axis=0), *rest)):
+        x -= P.STEP * 0.2 * g / np.sqrt(1e-3 + g * g)
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(P.unflat(trainer.flat), want))
+    huge = P.unflat(flat * np.float32(1e3))
+    assert np.isfinite(P.log_probabilities(huge, around, words)).all() and np.isfinite(P.log_probabilities(P.unflat(-flat * np.float32(1e3)), around, words)).all()
+
+
 def test_pseudo_likelihood_beats_frequencies(spark):
     rng = random.Random(4)
     texts = [" ".join(f"a{(s + j) % 40}" for j in range(60)) for s in (rng.randrange(40) for _ in range(300))]
