@@ -136,6 +136,41 @@ def test_repeats_equal_brute_force(spark):
     assert suffixes.maximal_repeats(frame_.limit(0)).count() == 0
 
 
+def test_nested_repeats_are_all_repeats(spark):
+    """The places under a repeat and all below it are those of the flat form; rows grow with places, not with pairs of near copies."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    near = []
+    for i in range(30):
+        words = list(base)
+        for _ in range(4):
+            words[rng.randrange(400)] = f"x{i}"
+        near.append((i, " ".join(words)))
+    loop = " ".join(f"p{i}" for i in range(7))
+    rows = near + [(50, " ".join([loop] * 20)), (51, " ".join([loop] * 12 + ["end"])), (None, near[3][1] + " more"), (60, near[5][1]), (61, near[5][1]), (70, "few words"), (71, None)]
+    docs = frame(spark, rows).repartition(3)
+
+    def places(found):
+        out = {}
+        for r in found:
+            own = out.setdefault(r["repeat_id"], set())
+            own |= {(r["doc_id"], r["first_word"] + t * r["step"]) for t in range(r["times"])} if r["doc_id"] not in (60, 61) else set()
+        return out
+
+    flat, nested = suffixes.maximal_repeats(docs).collect(), suffixes.nested_repeats(docs).collect()
+    facts = lambda found: {(r["repeat_id"], r["n_words"], r["n_docs"], r["n_places"]) for r in found}
+    assert facts(flat) == facts(nested) and len(nested) < len(flat) / 4
+    copies = lambda found: {(r["doc_id"], r["repeat_id"], r["n_copies"]) for r in found if r["doc_id"] in (60, 61)}
+    assert copies(flat) == copies(nested) and len(copies(flat)) == 2
+    got, parent, size = places(nested), {r["repeat_id"]: r["parent_id"] for r in nested}, {r["repeat_id"]: r["n_words"] for r in nested}
+    for x in sorted(got, key=lambda x: -size[x]):
+        if parent[x] is not None:
+            assert size[parent[x]] < size[x]
+            got[parent[x]] |= got[x]
+    assert got == places(flat)
+    assert suffixes.nested_repeats(docs.limit(0)).count() == 0
+
+
 def test_suffix_array_equals_sorting():
     rng = random.Random(15)
     words = np.array([rng.randrange(1, 3) for _ in range(400)], np.uint64)
