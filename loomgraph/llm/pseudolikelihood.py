@@ -37,7 +37,8 @@ REACH = (-2, -1, 1, 2)
 ROUNDS, BATCH, STEP = 2, 2048, 0.25
 LIMIT = 80.0
 CACHED = 1 << 18  # words outside the vocabulary whose exact counts go to all tasks; others' come by a join
-BLOCK = 1 << 14  # windows scored at once
+BLOCK, PART = 1 << 14, 1 << 11  # windows sorted at once for scores, and scored at once
+FEW = 4  # uses of a row of the embeddings in a minibatch that are added one after another
 SLICE = 1 << 14
 SHAPES = ((len(REACH), SIZE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, INSIDE), (CLASSES, INSIDE))
 
@@ -101,26 +102,28 @@ class Weights:
         emb, self.b, wc, bc, ww, bw = weights
         self.emb = emb.reshape(-1, HIDDEN)
         self.c, self.w = np.concatenate([wc, bc[None]]), np.concatenate([ww, bw[:, None]], axis=1)
+        self.each, self.back, self.c_back = list(self.w), [x[:-1].T for x in self.w], self.c[:-1].T  # views, made once
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.emb, self.b, self.c, self.w[:, :-1], self.w[:, -1])])
 
 
 class Forward:
-    """The hidden layer and the softmax of classes and words of up to n windows sorted by class; keeps its buffers."""
+    """The hidden layer and the softmax of classes and words of up to n windows sorted by class; keeps its buffers.
+    After a run, ``below`` is the hidden layer less 1, and ``parts`` has each class that occurs, its windows lo:hi, their hidden layer and their words' scores."""
 
     def __init__(self, n: int):
-        self.e, self.h = np.empty((len(REACH) * n, HIDDEN), np.float32), np.ones((n, HIDDEN + 1), np.float32)
+        self.e, self.h = np.empty((2 * n, HIDDEN), np.float32), np.ones((n, HIDDEN + 1), np.float32)
         self.p, self.ones = np.empty((2 * n, CLASSES), np.float32), np.ones(CLASSES, np.float32)
 
     def run(self, w: Weights, rows: np.ndarray, cut: list[int], at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         """``rows`` of the embeddings by place and window.  The hidden layer with a last column of ones; e**score of the classes and, below them, of
         the words; their sums; the scores themselves at the places ``at``."""
         n = rows.shape[1]
-        e, h, p = self.e[: len(REACH) * n].reshape(len(REACH), n, HIDDEN), self.h[:n], self.p[: 2 * n]
-        np.take(w.emb, rows, axis=0, out=e, mode="clip")
-        x = e[0]
-        for more in e[1:]:
+        x, more, h, p = self.e[:n], self.e[n : 2 * n], self.h[:n], self.p[: 2 * n]
+        np.take(w.emb, rows[0], axis=0, out=x, mode="clip")
+        for row in rows[1:]:
+            np.take(w.emb, row, axis=0, out=more, mode="clip")
             x += more
         x += w.b
         # tanh(x) is 1 - 2 / (e**2x + 1), of which numpy has the faster loop
@@ -128,13 +131,13 @@ class Forward:
         with np.errstate(over="ignore"):
             np.exp(x, out=x)
         x += 1
-        np.divide(-2, x, out=x)
+        self.below = np.divide(-2, x, out=x)
         np.add(x, 1, out=h[:, :HIDDEN])
+        self.parts = [(c, lo, hi, h[lo:hi], p[n + lo : n + hi]) for c, lo, hi in zip(range(CLASSES), cut, cut[1:]) if lo < hi]
         for limit in (None, LIMIT):
-            np.dot(h, w.c, out=p[:n])
-            for c, lo, hi in zip(range(CLASSES), cut, cut[1:]):
-                if lo < hi:
-                    np.dot(h[lo:hi], w.w[c], out=p[n + lo : n + hi])
+            h.dot(w.c, p[:n])
+            for c, _, _, own, q in self.parts:
+                own.dot(w.each[c], q)
             got = None if at is None else p.ravel()[at]
             if limit:
                 np.clip(p, -limit, limit, out=p)
@@ -156,13 +159,16 @@ def log_probabilities(weights: list[np.ndarray] | Weights, around: np.ndarray, w
     """Of each word given the words around it."""
     w = weights if isinstance(weights, Weights) else Weights(weights)
     out = np.empty(len(words), np.float32)
-    forward = Forward(min(BLOCK, len(words)))
+    forward = Forward(min(PART, len(words)))
     for at in range(0, len(words), BLOCK):
         word = words[at : at + BLOCK]
         order, cut = _by_class(word)
-        _, _, total, z = forward.run(w, _rows(around[:, at : at + BLOCK][:, order]), cut.tolist(), _targets(word[order]))
-        z -= np.log(total)
-        out[at + order] = z[: len(word)] + z[len(word) :]
+        for lo in range(0, len(word), PART):  # few classes at once, so products are large and stay in the cache
+            own = order[lo : lo + PART]
+            n = len(own)
+            _, _, total, z = forward.run(w, _rows(around[:, at + own]), np.clip(cut - lo, 0, n).tolist(), _targets(word[own]))
+            z -= np.log(total)
+            out[at + own] = z[:n] + z[n:]
     return out
 
 
@@ -177,8 +183,13 @@ class Trainer:
     def __init__(self, flat: np.ndarray):
         self.w = Weights(unflat(flat.copy()))
         self.seen = [np.full(x.shape, 1e-3, np.float32) for x in (self.w.emb[:, 0], self.w.b, self.w.c, self.w.w)]
-        self.g_w, self.room = np.empty_like(self.w.w), [np.empty_like(x) for x in (self.w.b, self.w.c, self.w.w)]
         self.forward, self.more = Forward(BATCH), np.empty((BATCH, HIDDEN), np.float32)
+        self.g_w = np.empty_like(self.w.w)
+        self.g_each = list(self.g_w)
+        # the largest lies where the scores were, so that less is in the cache
+        self.room = [np.empty_like(self.w.b), np.empty_like(self.w.c), self.forward.p.ravel()[: self.w.w.size].reshape(self.w.w.shape)]
+        self.pads = self.w.emb[SIZE :: SIZE + 1]
+        self.pad = self.pads.copy()
 
     @property
     def flat(self) -> np.ndarray:
@@ -198,25 +209,24 @@ class Trainer:
         The windows are sorted by class; the rows of their embeddings come in that order."""
         n = len(words)
         order, cut = _by_class(words)
-        rows, cut = _rows(around[:, order]), cut.tolist()
+        rows, cut = _rows(np.take(around, order, axis=1)), cut.tolist()
         h, p, total, _ = self.forward.run(self.w, rows, cut)
         total *= np.float32(n)
         p *= (1 / total)[:, None]
         p.reshape(-1)[_targets(words[order])] -= np.float32(1 / n)
         z, more = p[:n], self.more[:n]
-        gh = np.dot(z, self.w.c[:-1].T)
-        for c, lo, hi in zip(range(CLASSES), cut, cut[1:]):
-            if lo < hi:
-                q = p[n + lo : n + hi]
-                np.dot(q, self.w.w[c, :-1].T, out=more[lo:hi])
-                np.dot(h[lo:hi].T, q, out=self.g_w[c])
-            else:
-                self.g_w[c] = 0
+        gh = z.dot(self.w.c_back)
+        if len(self.forward.parts) < CLASSES:
+            self.g_w[:] = 0
+        for c, lo, hi, own, q in self.forward.parts:
+            q.dot(self.w.back[c], more[lo:hi])
+            own.T.dot(q, self.g_each[c])
         gh += more
-        np.multiply(h[:, :-1], h[:, :-1], out=more)
-        np.subtract(1, more, out=more)
+        # by tanh: 1 - h**2 is (-2 - x) * x for x = h - 1
+        np.subtract(-2, self.forward.below, out=more)
+        more *= self.forward.below
         gh *= more
-        return rows, gh, np.dot(h.T, z), self.g_w
+        return rows, gh, h.T.dot(z), self.g_w
 
     def gradients(self, around: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
         """Those of ``_backward`` apart, in the order of SHAPES after the words around each window."""
@@ -225,31 +235,45 @@ class Trainer:
 
     def train(self, around: np.ndarray, words: np.ndarray) -> None:
         rows, gx, g_c, g_w = self._backward(around, words)
-        key = rows.astype(np.int16).ravel()  # sorted by radix
-        order = np.argsort(key, kind="stable")
-        own = key[order]
-        new = np.ones(len(own), bool)
-        np.not_equal(own[1:], own[:-1], out=new[1:])
-        first = np.flatnonzero(new)
-        times = np.diff(first, append=len(own))
-        rows, window = own[first], np.tile(np.arange(len(words)), len(REACH))[order]
-        g = np.take(gx, window[first], axis=0)
-        several = times > 1
-        if several.any():
-            n = times[several]
-            # two numbers are added at once
-            parts = np.take(gx, window[np.repeat(several, times)], axis=0).view(np.complex64)
-            g[several] = np.add.reduceat(parts, np.cumsum(n) - n, axis=0).view(np.float32)
-        g[rows % (SIZE + 1) == SIZE] = 0
+        rows, g = sums_by_row(rows, gx)
         seen = self.seen[0][rows] + np.einsum("ij,ij->i", g, g) / HIDDEN
         self.seen[0][rows] = seen
-        g *= (STEP / np.sqrt(seen))[:, None]
-        self.w.emb[rows] -= g
-        self._step(1, self.w.b, gx.sum(axis=0))
+        g *= (-STEP / np.sqrt(seen))[:, None]
+        g += np.take(self.w.emb, rows, axis=0)
+        self.w.emb[rows] = g
+        self.pads[:] = self.pad  # not trained
+        self._step(1, self.w.b, np.ones(len(gx), np.float32).dot(gx))
         self._step(2, self.w.c, g_c)
         self._step(3, self.w.w, g_w)
 
 
+def sums_by_row(rows: np.ndarray, gx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``rows`` by place and window, each once, those of most uses first; and the sums of their windows' gradients."""
+    key = rows.astype(np.int16).ravel()  # sorted by radix
+    order = np.argsort(key, kind="stable")
+    own, window = key[order], order % len(gx)
+    new = np.ones(len(own) + 1, bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:-1])
+    first = np.flatnonzero(new)
+    times = first[1:] - first[:-1]
+    rank = FEW - np.minimum(times, FEW + 1).astype(np.int8)  # -1: more than FEW
+    most = np.argsort(rank, kind="stable")
+    first, times = first[most], times[most]
+    g = np.take(gx, window[first], axis=0)
+    many, *ends = np.cumsum(np.bincount(rank + 1, minlength=FEW + 1)).tolist()
+    # few uses: a pass over all rows for the second, the third, ...
+    for k, end in enumerate(ends[-2::-1], 1):
+        if many < end:
+            g[many:end] += np.take(gx, window[first[many:end] + k], axis=0)
+    if many:
+        n = times[:many]
+        start = np.cumsum(n) - n
+        # two numbers are added at once
+        parts = np.take(gx, window[np.arange(n.sum()) + np.repeat(first[:many] - start, n)], axis=0).view(np.complex64)
+        g[:many] = np.add.reduceat(parts, start, axis=0).view(np.float32)
+    return own[first].astype(np.int64), g
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """Exact count of every word of the corpus: word (hash), n."""
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -462,6 +463,41 @@ def test_pseudo_likelihood_steps_equal_plain_loops():
     assert np.isfinite(P.log_probabilities(huge, around, words)).all() and np.isfinite(P.log_probabilities(P.unflat(-flat * np.float32(1e3)), around, words)).all()
 
 
+def test_pseudo_likelihood_sums_by_row_equal_plain_loops():
+    """Rows that windows use once, a few times and often, also in one window alone."""
+    P = pseudolikelihood
+    rng = np.random.default_rng(9)
+    for n, words in ((1, 3), (2, 1), (300, 2), (300, 90), (300, P.SIZE + 1)):
+        around = np.where(rng.random((4, n)) < 0.2, P.SIZE, rng.integers(0, words, (4, n)))
+        gx = rng.standard_normal((n, P.HIDDEN)).astype(np.float32)
+        want = {}
+        for j in range(4):
+            for i in range(n):
+                row = j * (P.SIZE + 1) + around[j, i]
+                want[row] = want.get(row, 0) + gx[i].astype(float)
+        rows, g = P.sums_by_row(P._rows(around), gx)
+        assert sorted(rows.tolist()) == sorted(want) and all(np.allclose(g[k], want[r], atol=1e-4) for k, r in enumerate(rows.tolist()))
+
+
+def test_pseudo_likelihood_scores_in_small_parts(monkeypatch):
+    """Scores don't depend on how many windows are scored at once, and what they hold at once is small."""
+    P = pseudolikelihood
+    rng = np.random.default_rng(10)
+    flat = (P.start(rng.integers(0, 50, P.SIZE)) + rng.standard_normal(len(P.start(np.ones(P.SIZE)))) * 0.1).astype(np.float32)
+    w = P.Weights(P.unflat(flat))
+    words = rng.zipf(1.3, 1 << 14).clip(max=P.SIZE) - 1
+    around = P.contexts(words.astype(np.int32), np.array([0, 5, 5, len(words)]))
+    tracemalloc.start()
+    got = P.log_probabilities(w, around, words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6e6
+    for block, part in ((1 << 14, 7), (50, 1 << 11), (1 << 14, 1 << 14)):
+        monkeypatch.setattr(P, "BLOCK", block)
+        monkeypatch.setattr(P, "PART", part)
+        assert np.allclose(P.log_probabilities(w, around, words), got, atol=1e-4)
+
+
 def test_pseudo_likelihood_beats_frequencies(spark):
     rng = random.Random(4)
     texts = [" ".join(f"a{(s + j) % 40}" for j in range(60)) for s in (rng.randrange(40) for _ in range(300))]
