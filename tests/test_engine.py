@@ -69,3 +69,31 @@ def test_registered_walk_equals_numpy(spark):
     got = {r["id"]: r["mass"] for r in catalogue.QUERIES["pagerank_rwr"](spark, SF).collect()}
     assert set(got) == set(number) and max(abs(got[k] - mass[i]) for k, i in number.items()) < 1e-6
     assert abs(sum(got.values()) - 1) < 1e-2
+
+
+def test_walk_in_parts_leaves_little_on_disk(spark, monkeypatch):
+    """Several parts and shuffles give the masses of the plain sums; what stays in the shared folder is no larger than the answer."""
+    from pathlib import Path
+
+    from loomgraph.operators import graph, lineage, walk
+
+    monkeypatch.setattr(walk, "PART", 3_000)
+    monkeypatch.setattr(walk, "SLICE", 7_000)
+    ends = np.random.default_rng(5).integers(0, 2_000, (8_000, 2))
+    ends[:40] = 7  # loops and repeats
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(2_010)], "id string")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in ends.tolist()], "source string, target string")
+    folder = Path(lineage.checkpoint_dir(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    for seeds in ("id = 'n3' or id = 'n2005'", "id = 'absent'"):
+        got = {int(r["id"][1:]): r["mass"] for r in graph.pagerank(nodes, edges, nodes.filter(seeds), rounds=9).collect()}
+        a, b = np.concatenate([ends, ends[:, ::-1]]).T
+        degree = np.bincount(a, minlength=2_010)
+        start = np.zeros(2_010)
+        start[[3, 2005] if "n3" in seeds else slice(None)] = 0.5 if "n3" in seeds else 1 / 2_010
+        mass = start
+        for _ in range(9):
+            mass = 0.25 * start + 0.75 * (np.bincount(b, mass[a] / degree[a], 2_010) + np.where(degree == 0, mass, 0))
+        assert len(got) == 2_010 and max(abs(got[i] - mass[i]) for i in got) < 1e-12
+    assert size() - before < 2 * 2_010 * 60
