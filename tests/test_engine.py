@@ -97,3 +97,48 @@ def test_walk_in_parts_leaves_little_on_disk(spark, monkeypatch):
             mass = 0.25 * start + 0.75 * (np.bincount(b, mass[a] / degree[a], 2_010) + np.where(degree == 0, mass, 0))
         assert len(got) == 2_010 and max(abs(got[i] - mass[i]) for i in got) < 1e-12
     assert size() - before < 2 * 2_010 * 60
+
+
+def test_hierarchy_of_many_levels(spark, monkeypatch):
+    """Links are joined until few are left: fewer jobs than levels; trees, cycles and knots keep their least depths."""
+    from collections import deque
+
+    from loomgraph.operators import distance, graph
+
+    rng = np.random.default_rng(3)
+    knot = [(int(a), int(b)) for a, b in rng.integers(2000, 2020, (80, 2))] + [(2000, 30), (50, 2000)]
+    pairs = [(i, i + 1) for i in range(300)] + [(300, 0)] + [(1000 + i, 1000 + (i - 1) // 2) for i in range(1, 100)] + [(1000, 290)] + knot
+    links = [(f"n{a}", f"n{b}") for a, b in pairs]
+    seeds = ["n7", "n1005", "n7", "lone"]
+
+    def plain(pairs):
+        step = {}
+        for a, b in pairs:
+            step.setdefault(a, []).append(b)
+        depth, todo = dict.fromkeys(seeds, 0), deque(dict.fromkeys(seeds))
+        while todo:
+            x = todo.popleft()
+            for y in step.get(x, ()):
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    todo.append(y)
+        return {(x, d) for x, d in depth.items()}
+
+    start = spark.createDataFrame([(x,) for x in seeds], "id string")
+    edges = spark.createDataFrame([(a, b, "extends") for a, b in links], "source string, target string, kind string")
+    monkeypatch.setattr(distance, "LOCAL", 150)
+    group = "hierarchy of many levels"
+    spark.sparkContext.setJobGroup(group, group)
+    got = [tuple(r) for r in graph.reach(edges, start, None).collect()]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(set(got)) and set(got) == plain(links) and jobs < 300
+    monkeypatch.setattr(distance, "LOCAL", 10**6)
+    got = [tuple(r) for r in graph.hierarchy(edges, start).collect()]
+    up, down = plain(links), plain([(b, a) for a, b in links])
+    assert sorted(got) == sorted((x, side, d) for side, found in (("ancestor", up), ("descendant", down)) for x, d in found if d)
+    # where nothing can be joined, round by round
+    seeds = ["n2003"]
+    own = edges.filter("source rlike '^n20..$' and target rlike '^n20..$'").selectExpr("source as a", "target as b", "1 as w")
+    got = [tuple(r) for r in distance._relaxed(own, spark.createDataFrame([("n2003",)], "id string")).collect()]
+    assert sorted(got) == sorted(plain([(a, b) for a, b in links if len(a) == len(b) == 5 and a[1] == b[1] == "2"]))
