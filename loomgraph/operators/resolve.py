@@ -207,17 +207,20 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     veto = known.select("ref_id", "step").join(sure, ["ref_id", "step"], "left_anti").select("ref_id", "step", F.lit("veto").alias("how"), F.lit(None).cast("string").alias("target"))
     drop = todo.filter("how = 'drop'").select("ref_id", "step", "how", F.lit(None).cast("string").alias("target"))
     # the folder that an import's signature names for an alias, or folders inside it
-    aliases = imports.select("file_path", F.regexp_extract("signature", "^([A-Za-z_][A-Za-z0-9_]*)=", 1).alias("receiver"), F.regexp_replace("signature", "^[^=]*=", "").alias("folder")).filter("receiver != ''")
+    aliases = imports.select("file_path", F.regexp_extract("signature", "^([A-Za-z_][A-Za-z0-9_]*)=", 1).alias("receiver"), F.regexp_replace("signature", "^[^=]*=", "").alias("folder")).filter("receiver != ''").distinct()
     via = lastly.filter("how = 'alias'").join(aliases, ["file_path", "receiver"])
     there = own.withColumn("dir", dir_name(F.col("file_path")))
     ups = there.withColumn("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda k: F.array_join(F.slice(F.split("dir", "/"), 1, k), "/"))))
     aliased = via.join(ups.groupBy("lang", "name", "folder").agg(F.min(F.struct("file_path", "start_line", "id")).alias("b")), ["lang", "name", "folder"]).select("ref_id", "step", "how", F.col("b.id").alias("target"))
-    # words of the receiver in the candidate's path, two at least; of one language and name
+    # words of the receiver in the candidate's path, two at least; of one language and name: each receiver meets each file once
     from loomgraph.functions.text import word_overlap
 
-    shared = lastly.filter("how = 'overlap'").select("ref_id", "step", "how", "lang", "name", "receiver").join(own.filter(F.col("kind").isin(*CALLABLE)).select("lang", "name", "id", F.col("file_path").alias("there")), ["lang", "name"])
+    key = ["lang", "name", "receiver"]
+    asked = lastly.filter("how = 'overlap'").select("ref_id", "step", "how", *key)
+    offered = own.filter(F.col("kind").isin(*CALLABLE)).groupBy("lang", "name", F.col("file_path").alias("there")).agg(F.min("id").alias("id"))
+    shared = asked.select(*key).distinct().join(offered, ["lang", "name"])
     shared = shared.withColumn("n", word_overlap(F.col("receiver"), F.regexp_replace("there", "[/._]", " "))).filter("n >= 2")
-    overlap = shared.groupBy("ref_id", "step", "how").agg(F.min(F.struct(-F.col("n"), "there", "id"))["id"].alias("target"))
+    overlap = asked.join(shared.groupBy(*key).agg(F.min(F.struct(-F.col("n"), "there", "id"))["id"].alias("target")), key).select("ref_id", "step", "how", "target")
     # packages: the folder of the file stands for it; imports by name, then any
     pack = todo.filter("how = 'package'").withColumn("package", dir_name(F.col("file_path")))
     in_pack = own.withColumn("package", dir_name(F.col("file_path"))).groupBy("lang", "name", "package").agg(F.min(F.struct("file_path", "start_line", "id")).alias("b"))
@@ -231,7 +234,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     files = n.filter("kind = 'file'")
     inc = todo.filter("how = 'include'")
-    by_path = inc.withColumn("path", clean(F.concat_ws("/", dir_name(F.col("file_path")), "name"))).join(files.select(F.col("file_path").alias("path"), F.col("id").alias("target")), "path").select("ref_id", "step", "how", "target", F.lit(0).alias("tier"))
+    by_path = inc.withColumn("path", clean(F.concat_ws("/", dir_name(F.col("file_path")), "name"))).join(files.groupBy(F.col("file_path").alias("path")).agg(F.min("id").alias("target")), "path").select("ref_id", "step", "how", "target", F.lit(0).alias("tier"))
     single = files.groupBy(base_name(F.col("file_path")).alias("base")).agg(F.min("id").alias("target"), F.count("*").alias("n")).filter("n = 1")
     by_base = inc.withColumn("base", base_name(F.col("name"))).join(single, "base").select("ref_id", "step", "how", "target", F.lit(1).alias("tier"))
     included = by_path.unionByName(by_base).groupBy("ref_id", "step", "how").agg(F.min(F.struct("tier", "target"))["target"].alias("target"))
@@ -241,7 +244,12 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for k in range(2, 6):
         hop = hop.select("lang", "owner", F.col("base").alias("b")).join(base.select("lang", F.col("owner").alias("b"), "base"), ["lang", "b"]).select("lang", "owner", "base", F.lit(k).alias("hops")).distinct()
         up = up.unionByName(hop)
-    inherited = lastly.filter("how = 'inherited'").withColumn("owner", F.col("receiver")).join(up, ["lang", "owner"]).join(own.select("lang", F.col("owner").alias("base"), "name", "id"), ["lang", "base", "name"]).groupBy("ref_id", "step", "how").agg(F.min(F.struct("hops", "id"))["id"].alias("target"))
+    up = up.groupBy("lang", "owner", "base").agg(F.min("hops").alias("hops"))
+    key = ["lang", "owner", "name"]
+    asked = lastly.filter("how = 'inherited'").withColumn("owner", F.col("receiver")).select("ref_id", "step", "how", *key)
+    offered = own.groupBy("lang", F.col("owner").alias("base"), "name").agg(F.min("id").alias("id"))
+    nearest = asked.select(*key).distinct().join(up, ["lang", "owner"]).join(offered, ["lang", "base", "name"]).groupBy(*key).agg(F.min(F.struct("hops", "id"))["id"].alias("target"))
+    inherited = asked.join(nearest, key).select("ref_id", "step", "how", "target")
 
     more = {"inferred": (sure, veto), "drop": (drop,), "alias": (aliased,), "overlap": (overlap,), "package": (packed,), "include": (included,), "inherited": (inherited,)}
     every = reduce(DataFrame.unionByName, [*found, *(x for how, xs in more.items() if how in hows for x in xs)], nothing)

@@ -142,3 +142,36 @@ def test_hierarchy_of_many_levels(spark, monkeypatch):
     own = edges.filter("source rlike '^n20..$' and target rlike '^n20..$'").selectExpr("source as a", "target as b", "1 as w")
     got = [tuple(r) for r in distance._relaxed(own, spark.createDataFrame([("n2003",)], "id string")).collect()]
     assert sorted(got) == sorted(plain([(a, b) for a, b in links if len(a) == len(b) == 5 and a[1] == b[1] == "2"]))
+
+
+def most_rows(df):
+    """The most rows that a node of the plan that ran gave."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        x = todo.pop()
+        inner = [getattr(x, f)() for kind, f in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if x.getClass().getSimpleName().endswith(kind)]
+        todo += inner + [x.children().apply(i) for i in range(x.children().size())]
+        got = x.metrics().get("numOutputRows")
+        most = max(most, got.get().value() if got.isDefined() else 0)
+    return most
+
+
+def test_references_meet_no_pairs(spark):
+    """Of a name that all use, references and candidates grow each by itself; rows between them don't grow with the product."""
+    from loomgraph.operators import resolve
+
+    n = 600
+    nodes = [(f"{lang}:{i}", "method", "go", "Base::go", f"core/pool/f{i % 3}.src", lang, i + 1, "") for lang in ("go", "cpp") for i in range(n)]
+    nodes += [("own", "class", "Own", "Own", "a/b.src", "cpp", 1, ""), ("base", "class", "Base", "Base", "a/b.src", "cpp", 2, "")]
+    nodes += [(f"i{i}", "import", "x", "x", "lib/a.src", "go", i + 1, "p=core/pool") for i in range(n)]
+    refs = [(f"{lang}:r{i}", f"from{i}", name, "calls", "lib/a.src", lang) for lang, name in (("go", "p.go"), ("go", "corePool.go"), ("cpp", "Own::go")) for i in range(n)]
+    refs = [(f"{name}:{r}", *rest) for r, *rest in refs for name in [rest[1]]]
+    refs = spark.createDataFrame(refs, "ref_id string, from_node string, name string, kind string, file_path string, language string")
+    nodes = spark.createDataFrame(nodes, "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, signature string")
+    edges = spark.createDataFrame([("own", "base", "extends", 1)], "source string, target string, kind string, line int")
+    got = resolve.resolve(refs, nodes, edges)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["ref_id"].rpartition(":")[0].rpartition(":")[0], r["strategy"], r["target"]), []).append(r["ref_id"])
+    assert {k: len(v) for k, v in found.items()} == {("p.go", "alias", "go:0"): n, ("corePool.go", "overlap", "go:0"): n, ("Own::go", "inherited", "cpp:0"): n}
+    assert most_rows(got) < 20 * n
