@@ -24,6 +24,7 @@ def _tree(spark, sf_dir):
     rows = [(i, lang, p, t.replace("\x00", "\x01")) for i, (lang, (p, t, *_)) in enumerate(SAMPLES.items())]
     shapes = spark.createDataFrame(rows, "lang int, language string, path string, text string")
     own = P.table(spark, sf_dir, "part").select(C("p_partkey").cast("string").alias("k"), (C("p_partkey") % len(_LANGS)).cast("int").alias("lang"))
+    own = own.repartition(max(1, min(own.count() // 4096, 10_000)), "k")  # a small table, of which one task would extract every file
     named = own.join(F.broadcast(shapes), "lang")
     fill = lambda c: F.replace(F.replace(C(c), F.lit("@"), C("k")), F.lit("\x01"), F.lit("@"))
     return named.select("language", F.concat(C("k"), F.lit("/"), fill("path")).alias("path"), fill("text").cast("binary").alias("content"))

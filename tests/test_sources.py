@@ -206,3 +206,11 @@ def test_operators_take_empty_tables_and_nulls(spark):
     assert resolve.resolve(refs, nodes, edges).count() == 0 and resolve.resolve(refs.limit(0), nodes.limit(0), edges).count() == 0
     bad = spark.createDataFrame([("f", [(5, 4, "hit")], 0, 0), ("g", [(1, 2, "hit"), (2, 3, "miss")], 2, 2), ("h", [(1, 2, "hit"), (3, 3, "miss")], 2, 1), ("i", [], 0, 0)], "file string, ranges array<struct<start:int,end:int,kind:string>>, covered int, uncovered int")
     assert sorted(r["file"] for r in coverage.violations(bad).collect()) == ["f", "g"]
+
+
+def test_generated_trees_are_spread(spark):
+    """A small table of parts is one split, yet its files are extracted by several tasks."""
+    from loomgraph.plans import source_queries
+
+    assert source_queries._tree(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 20_000 // 4096
+    assert source_queries._tree(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 1
