@@ -25,6 +25,7 @@ def totals(lines: DataFrame) -> DataFrame:
 
 def innermost(lines: DataFrame, spans: DataFrame, bucket: int = 1024) -> DataFrame:
     """Each line's smallest span (file, id, start, end); ties by id.  A range join by equal buckets of lines."""
+    spans = spans.groupBy("file", "start", "end").agg(F.min("id").alias("id"))  # of spans of the same lines the least id has them all
     keyed = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
     own = lines.withColumn("bucket", F.floor(F.col("line") / bucket))
     hits = own.join(keyed, ["file", "bucket"]).filter("line between start and end")

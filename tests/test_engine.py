@@ -175,3 +175,13 @@ def test_references_meet_no_pairs(spark):
         found.setdefault((r["ref_id"].rpartition(":")[0].rpartition(":")[0], r["strategy"], r["target"]), []).append(r["ref_id"])
     assert {k: len(v) for k, v in found.items()} == {("p.go", "alias", "go:0"): n, ("corePool.go", "overlap", "go:0"): n, ("Own::go", "inherited", "cpp:0"): n}
     assert most_rows(got) < 20 * n
+
+
+def test_spans_of_the_same_lines_meet_lines_once(spark):
+    from loomgraph.operators import coverage
+
+    lines = spark.createDataFrame([("f", i, i % 2 == 0) for i in range(1, 101)], "file string, line int, hit boolean")
+    spans = spark.createDataFrame([("f", i, 1, 100) for i in range(2_000)] + [("f", 3_000 + i, 5, 10) for i in range(500)], "file string, id long, start long, end long")
+    got = coverage.node_coverage(lines, spans)
+    assert sorted((r["id"], r["covered"], r["uncovered"]) for r in got.collect()) == [(0, 47, 47), (3_000, 3, 3)]
+    assert most_rows(got) < 5_000
