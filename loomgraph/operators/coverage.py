@@ -41,13 +41,19 @@ def stale(coverage: DataFrame, files: DataFrame) -> DataFrame:
 def profile_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of a cover profile given as lines (value): file, start, end, statements, count; the mode line and others that don't fit are left out."""
     pattern = r"^(.+):(\d+)\.(\d+),(\d+)\.(\d+) (\d+) (\d+)$"
-    part = lambda i, kind="int": F.regexp_extract("value", pattern, i).cast(kind)
-    return lines.filter(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("file"), part(2).alias("start"), part(4).alias("end"), part(6).alias("statements"), part(7, "long").alias("count"))
+    # a line that fits is cut at its marks, which takes less than a match for each field
+    rest = F.substring_index("value", ":", -1)
+    file = F.col("value").substr(F.lit(1), F.length("value") - F.length(rest) - 1)
+    upto, words = F.substring_index(rest, ",", -1), F.split(rest, " ")
+    first = lambda c: F.substring_index(c, ".", 1).cast("int")
+    return lines.filter(F.col("value").rlike(pattern)).select(file.alias("file"), first(rest).alias("start"), first(upto).alias("end"), words[1].cast("int").alias("statements"), words[2].cast("long").alias("count"))
 
 
 def block_lines(blocks: DataFrame) -> DataFrame:
     """file, line, hit: a line is hit if any block over it was."""
-    lines = blocks.filter("end >= start").select("file", F.explode(F.sequence(F.greatest("start", F.lit(1)), "end")).alias("line"), (F.col("count") > 0).alias("hit"))
+    # a profile of many runs has a block many times: its lines are listed once
+    once = blocks.filter("end >= start").groupBy("file", "start", "end").agg(F.max(F.col("count") > 0).alias("hit"))
+    lines = once.select("file", F.explode(F.sequence(F.greatest("start", F.lit(1)), "end")).alias("line"), "hit")
     return lines.groupBy("file", "line").agg(F.max("hit").alias("hit"))
 
 

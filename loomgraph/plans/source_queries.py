@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.operators import coverage, sync
+from loomgraph.operators.lineage import cut_lineage
 from loomgraph.plans.registry import query
 from loomgraph.sources import extract, files
 from loomgraph.sources.samples import SAMPLES
@@ -119,7 +120,7 @@ def coverage_by_node(spark, sf_dir):
 @query(f"WITH {_COVER}, tracked AS (SELECT DISTINCT 'f' || cast(p_partkey % 30 AS string) || '.go' AS path FROM part) SELECT replace(file, 'pkg/', '') AS file, count(*) AS n, replace(file, 'pkg/', '') IN (SELECT path FROM tracked) AS known FROM lines GROUP BY file", with_graph=False)
 def coverage_ingest(spark, sf_dir):
     tracked = P.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (C("p_partkey") % 30).cast("string"), F.lit(".go")).alias("path")).distinct()
-    lines = coverage.block_lines(coverage.profile_blocks(_profile(spark, sf_dir)))
+    lines = cut_lineage(coverage.block_lines(coverage.profile_blocks(_profile(spark, sf_dir))))  # read three times
     own, unknown = coverage.ingest(lines, tracked, "pkg")
     rest = lines.join(unknown, "file").select(F.regexp_replace("file", "^pkg/", "").alias("file"))
     return own.groupBy("file").agg(F.count("*").alias("n")).withColumn("known", F.lit(True)).unionByName(rest.groupBy("file").agg(F.count("*").alias("n")).withColumn("known", F.lit(False)))

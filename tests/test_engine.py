@@ -185,3 +185,16 @@ def test_spans_of_the_same_lines_meet_lines_once(spark):
     got = coverage.node_coverage(lines, spans)
     assert sorted((r["id"], r["covered"], r["uncovered"]) for r in got.collect()) == [(0, 47, 47), (3_000, 3, 3)]
     assert most_rows(got) < 5_000
+
+
+def test_profile_of_many_runs(spark):
+    """A block's lines are listed once however often it stands there; names may hold colons and blanks, lines that don't fit are left out."""
+    from loomgraph.operators import coverage
+
+    odd = [("a b:1.2,3.4 c.go:2.1,3.5 7 0",), ("x.go:1.1,2.2 1 9\n",), (":1.1,2.2 1 1",), ("x.go:1.1,2.2 1",), ("x.go:1.1,2.2  1 1",), ("mode: set",), ("",), (None,), ("x.go:9.1,8.2 1 1",)]
+    rows = spark.createDataFrame(odd + [("y.go:1.1,100.2 3 0",)] * 4_000 + [("y.go:1.1,100.2 3 1",)], "value string")
+    blocks = coverage.profile_blocks(rows)
+    assert sorted(tuple(r) for r in blocks.filter("file != 'y.go'").collect()) == [("a b:1.2,3.4 c.go", 2, 3, 7, 0), ("x.go", 1, 2, 1, 9), ("x.go", 9, 8, 1, 1)]
+    got = coverage.block_lines(blocks)
+    assert {(r["file"], r["line"], r["hit"]) for r in got.collect()} == {("a b:1.2,3.4 c.go", i, False) for i in (2, 3)} | {("x.go", i, True) for i in (1, 2)} | {("y.go", i, True) for i in range(1, 101)}
+    assert most_rows(got) < 10_000
