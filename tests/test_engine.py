@@ -198,3 +198,12 @@ def test_profile_of_many_runs(spark):
     got = coverage.block_lines(blocks)
     assert {(r["file"], r["line"], r["hit"]) for r in got.collect()} == {("a b:1.2,3.4 c.go", i, False) for i in (2, 3)} | {("x.go", i, True) for i in (1, 2)} | {("y.go", i, True) for i in range(1, 101)}
     assert most_rows(got) < 10_000
+
+
+def test_lines_are_spread_by_their_number(spark):
+    """What a task of the edges' sums holds is bounded by rows in a part, not by the splits and shuffles that a session happens to have."""
+    parts = spark.read.parquet("/root/testdata/sf0.1/part.parquet")
+    assert projection.spread(parts, 1_000, "p_partkey").rdd.getNumPartitions() == 20
+    assert projection.spread(parts, 10**6, "p_partkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = projection.graph(spark, SF)[1].filter("kind = 'calls'")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
