@@ -92,4 +92,5 @@ def run(spark: SparkSession, sf_dir: str, sql: str, tables: dict[str, DataFrame]
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, SYMBOLS)
+    """Spread, since a small table is one split and a search reads it again and again."""
+    return run(spark, sf_dir, SYMBOLS, {"part": spread(table(spark, sf_dir, "part"), 50_000, "p_partkey")})

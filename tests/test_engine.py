@@ -207,3 +207,4 @@ def test_lines_are_spread_by_their_number(spark):
     assert projection.spread(parts, 10**6, "p_partkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     plan = projection.graph(spark, SF)[1].filter("kind = 'calls'")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+    assert projection.symbols(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
